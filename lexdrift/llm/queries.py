@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import near_duplicates, repeated_lines, term_counts
+from lexdrift.llm import near_duplicates, personal_info, repeated_lines, term_counts
 from lexdrift.llm.common import table, tagged
 
 
+def _private_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of problem 1 as an array; those of hackforums are arrays of the one field ``texts``."""
+    return tagged(spark, d, ["nulled"], "row_id", "comments").union(tagged(spark, d, ["hackforums"], "row_id", F.array("texts").alias("comments")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    find = personal_info.finder(table(spark, d, "name_list"))
+    found = personal_info.mentions(_private_texts(spark, d), find, "comments")
+    place = F.when(F.col("tbl") == "hackforums", F.lit(-1)).otherwise(F.col("comment_ix")).cast("bigint")
+    return found.select("tbl", "row_id", place.alias("comment_ix"), "kind", "start_pos")
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    find = personal_info.finder(table(spark, d, "name_list"))
+    return personal_info.masked(_private_texts(spark, d), find, "comments")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows = tagged(spark, d, ["hackforums", "darkode"], "row_id", "comments")
     membership, links = near_duplicates.near_duplicates(rows, "row_id", "comments", width=3, least_words=20, threshold=0.5)
@@ -91,7 +108,7 @@ m AS (
 SELECT * FROM m WHERE mark IS NOT NULL""",
 }
 
-_QUERIES = [p3_found, p3_groups, p4_found, p4_clean, p6_found, p6_counts]
+_QUERIES = [p1_found, p1_masked, p3_found, p3_groups, p4_found, p4_clean, p6_found, p6_counts]
 
 
 def queries() -> dict:
