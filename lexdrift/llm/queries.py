@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import near_duplicates, personal_info, repeated_lines, term_counts
+from lexdrift.llm import near_duplicates, personal_info, repeated_lines, sentences, term_counts
 from lexdrift.llm.common import table, tagged
 
 
@@ -49,6 +49,14 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("tbl", "row_id", F.posexplode("comments").alias("comment_ix", "comment")).select("tbl", "row_id", F.col("comment_ix").cast("bigint"), "comment")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(tagged(spark, d, ["nulled", "reddit"], "row_id", "comments"))
+
+
+def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(tagged(spark, d, ["nulled", "reddit"], "row_id", "comments"), with_text=True)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     texts, vocab = table(spark, d, "dark_texts"), table(spark, d, "goodbad_vocab")
     rows = texts.count()
@@ -108,7 +116,7 @@ m AS (
 SELECT * FROM m WHERE mark IS NOT NULL""",
 }
 
-_QUERIES = [p1_found, p1_masked, p3_found, p3_groups, p4_found, p4_clean, p6_found, p6_counts]
+_QUERIES = [p1_found, p1_masked, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_sentences, p6_found, p6_counts]
 
 
 def queries() -> dict:
