@@ -9,7 +9,10 @@
    agree in m of K coordinates share one among the first K - m + 1 of each, so only those are merged.
    *Skip*: values that occur once need no merge at all, and they fill the prefix first, so the long
    lists of common values are mostly never opened.
-4. The pairs are counted and checked exactly on the full sets.
+   Each opened posting carries the low three bits of its record's whole signature (24 bytes), so the
+   collisions of a pair are counted where it is met, as a bit count, and a pair with fewer than the
+   wanted number never leaves its task. Bits agree wherever coordinates do: nothing is lost.
+4. The pairs are checked exactly on the full sets (of 32-bit hashes).
 
 Classes take out hot groups of exact copies before any pair is made.
 """
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexdrift.session import stage
 
-COORDS, MATCHES, EXPAND = 64, 20, 64
+COORDS, MATCHES, EXPAND, PLANES = 64, 20, 64, 3
 WORD = re.compile(r"[^\W_]+")
 U = np.uint64
 
@@ -80,6 +83,14 @@ def sets_and_signatures(texts: list[str], width: int, least_words: int, coords:
     return d[starts], sh, starts, sig
 
 
+def _plane(sig: np.ndarray, bit: int) -> np.ndarray:
+    """One bit of each of up to 64 coordinates, as one number per record."""
+    out = np.zeros(sig.shape[1], U)
+    for k in range(len(sig)):
+        out |= ((sig[k] >> np.uint32(bit)) & np.uint32(1)).astype(U) << U(k)
+    return out.view(np.int64)
+
+
 def _sketch(width: int, least_words: int, coords: int):
     def run(batches):
         for batch in batches:
@@ -100,23 +111,24 @@ def _sketch(width: int, least_words: int, coords: int):
                         pa.array(np.diff(ends), pa.int32()),
                         pa.array(sums.view(np.int64)),
                         pa.array(xors.view(np.int64)),
+                        *(pa.array(_plane(sig, p)) for p in range(PLANES)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, coords), pa.int32()), pa.array(flat)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(sh.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(sh.astype(np.uint32).view(np.int32))),
                     ],
-                    names=["row_id", "n", "k1", "k2", "sig", "sh"],
+                    names=["row_id", "n", "k1", "k2", *(f"b{p}" for p in range(PLANES)), "sig", "sh"],
                 )
 
     return run
 
 
 def record_sets(df: DataFrame, key: str, parts: str, width: int = 5, least_words: int = 5, coords: int = COORDS) -> DataFrame:
-    """``(row_id, n, k1, k2, sig, sh)`` of the records that take part, staged in the shared folder.
+    """``(row_id, n, k1, k2, b0, b1, b2, sig, sh)`` of the records that take part, staged in the shared folder.
 
     ``parts`` is an array of texts, joined by line breaks without its nulls. Records of fewer words
     than ``least_words`` (or than one sequence) take no part: null lists, empty texts.
     """
     rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(parts).alias("parts"))
-    return stage(rows.mapInArrow(_sketch(width, least_words, coords), "row_id bigint, n int, k1 bigint, k2 bigint, sig array<int>, sh array<bigint>"), "sets")
+    return stage(rows.mapInArrow(_sketch(width, least_words, coords), "row_id bigint, n int, k1 bigint, k2 bigint, b0 bigint, b1 bigint, b2 bigint, sig array<int>, sh array<int>"), "sets")
 
 
 def classes(sets: DataFrame) -> DataFrame:
@@ -128,7 +140,7 @@ def classes(sets: DataFrame) -> DataFrame:
 def class_links(sets: DataFrame, membership: DataFrame, threshold: float = 0.8, coords: int = COORDS, matches: int = MATCHES) -> DataFrame:
     """``(class_a, class_b, similarity)``, class_a < class_b: links between different sets, staged."""
     reps = membership.where("row_id = class_id").select("row_id")
-    chosen = sets.join(reps, "row_id").dropDuplicates(["row_id"])
+    chosen = sets.select("row_id", "b0", "b1", "b2", "sig").join(reps, "row_id")
     postings = chosen.select("row_id", F.posexplode("sig").alias("c", "v")).select("row_id", F.xxhash64("c", "v").alias("value"))
     shared = postings.selectExpr("row_id", "value", "count(*) over (partition by value) as posted").where("posted > 1")
     prefix = coords - matches + 1
@@ -137,17 +149,19 @@ def class_links(sets: DataFrame, membership: DataFrame, threshold: float = 0.8,
         shared.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("posted", "value"))).alias("values"))
         .withColumn("room", F.lit(prefix - coords) + F.size("values"))
         .where("room > 0")
-        .select("row_id", F.explode(F.expr("slice(values, 1, room)")).alias("p"))
-        .select("row_id", F.col("p.value").alias("value"))
+        .select("row_id", F.expr("transform(slice(values, 1, room), p -> p.value)").alias("values"))
+        .join(sets.select("row_id", "b0", "b1", "b2"), "row_id")
+        .select("row_id", "b0", "b1", "b2", F.explode("values").alias("value"))
     )
-    a, b = opened.withColumnRenamed("row_id", "a"), opened.withColumnRenamed("row_id", "b")
-    pairs = stage(a.join(b, "value").where("a < b").select("a", "b").distinct(), "pairs")
+    a, b = (opened.select("value", *(F.col(c).alias(side + c) for c in ("row_id", "b0", "b1", "b2"))) for side in ("x_", "y_"))
+    agree = f"{coords} - bit_count((x_b0 ^ y_b0) | (x_b1 ^ y_b1) | (x_b2 ^ y_b2)) >= {matches}"
+    met = a.join(b, "value").where("x_row_id < y_row_id").where(agree)
+    pairs = stage(met.select(F.col("x_row_id").alias("a"), F.col("y_row_id").alias("b")).distinct(), "pairs")
     sides = pairs.select(F.explode(F.array("a", "b")).alias("row_id"), "a", "b")
     both = (
-        chosen.select("row_id", "sig", "sh").join(sides, "row_id")
-        .groupBy("a", "b").agg(F.collect_list("sig").alias("sigs"), F.collect_list("sh").alias("sets"))
-        .where("size(filter(zip_with(sigs[0], sigs[1], (x, y) -> x = y), m -> m)) >= %d" % matches)
-        .selectExpr("a", "b", "size(array_intersect(sets[0], sets[1])) as common", "size(sets[0]) + size(sets[1]) as total")
+        sets.select("row_id", "sh").join(sides, "row_id")
+        .groupBy("a", "b").agg(*(F.first(F.when(F.col("row_id") == F.col(x), F.col("sh")), ignorenulls=True).alias("of_" + x) for x in ("a", "b")))
+        .selectExpr("a", "b", "size(array_intersect(of_a, of_b)) as common", "size(array_distinct(of_a)) + size(array_distinct(of_b)) as total")
         .selectExpr("a as class_a", "b as class_b", "common / (total - common) as similarity")
         .where(F.col("similarity") >= threshold)
     )
@@ -157,8 +171,8 @@ def class_links(sets: DataFrame, membership: DataFrame, threshold: float = 0.8,
 def near_duplicates(df: DataFrame, key: str, parts: str, width: int = 5, least_words: int = 5, threshold: float = 0.8, coords: int = COORDS, matches: int | None = None):
     """Membership ``(row_id, class_id)`` and links ``(class_a, class_b, similarity)``.
 
-    Every record of enough words has one row in the membership; ids that occur twice count once with
-    each of their texts. Links join different sets only. An empty table gives two empty tables.
+    Every record of enough words has one row in the membership. Ids are unique; of a row that is
+    repeated one copy counts. Links join different sets only. An empty table gives two empty tables.
     ``matches`` is three standard deviations below what pairs at the threshold agree in.
     """
     if matches is None:
