@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import near_duplicates, personal_info, repeated_lines, sentences, term_counts
+from lexdrift.llm import markup, near_duplicates, personal_info, repeated_lines, sentences, term_counts
 from lexdrift.llm.common import table, tagged
 
 
@@ -66,6 +66,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return dark.select(F.lit("dark_texts").alias("field_of"), "term", "mark").union(words.select(F.lit("goodbad_vocab").alias("field_of"), "term", "mark"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = tagged(spark, d, SITES, "row_id", "raw_comments", "comments")
+    return markup.elements(rows, markup.model(rows))
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    rows = tagged(spark, d, SITES, "row_id", "raw_comments", "comments")
+    return markup.clean(rows, markup.model(rows))
+
+
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.term_counts(table(spark, d, "dark_texts"), "texts")
 
@@ -116,7 +126,7 @@ m AS (
 SELECT * FROM m WHERE mark IS NOT NULL""",
 }
 
-_QUERIES = [p1_found, p1_masked, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_sentences, p6_found, p6_counts]
+_QUERIES = [p1_found, p1_masked, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_sentences, p6_found, p6_counts, p7_found, p7_clean]
 
 
 def queries() -> dict:
