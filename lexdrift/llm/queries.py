@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import markup, near_duplicates, personal_info, repeated_lines, sentences, term_counts
+from lexdrift.llm import markup, near_duplicates, personal_info, repeated_lines, sentences, similar_vectors, term_counts
 from lexdrift.llm.common import table, tagged
 
 
@@ -26,6 +26,16 @@ def p1_masked(spark: SparkSession, d: str) -> DataFrame:
     return personal_info.masked(_private_texts(spark, d), find, "comments")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_vectors.similar_pairs(table(spark, d, "syn0"), 5, 0.85)
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar words, whatever their cosine, of every word whose number is divisible by 20."""
+    found = similar_vectors.most_similar(table(spark, d, "syn0"), 10, queries="idx % 20 = 0", probes=24)
+    return found.select("model", "idx", "near", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("bigint"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows = tagged(spark, d, ["hackforums", "darkode"], "row_id", "comments")
     membership, links = near_duplicates.near_duplicates(rows, "row_id", "comments", width=3, least_words=20, threshold=0.5)
@@ -126,7 +136,7 @@ m AS (
 SELECT * FROM m WHERE mark IS NOT NULL""",
 }
 
-_QUERIES = [p1_found, p1_masked, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_sentences, p6_found, p6_counts, p7_found, p7_clean]
+_QUERIES = [p1_found, p1_masked, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_sentences, p6_found, p6_counts, p7_found, p7_clean]
 
 
 def queries() -> dict:
