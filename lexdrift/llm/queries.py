@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import markup, near_duplicates, personal_info, repeated_lines, sentences, similar_vectors, term_counts
+from lexdrift.llm import markup, near_duplicates, personal_info, reading_level, repeated_lines, sentences, similar_vectors, term_counts
 from lexdrift.llm.common import table, tagged
 
 
@@ -86,6 +86,12 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean(rows, markup.model(rows))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = reading_level.fit_levels(docs, table(spark, d, "level_labels"))
+    return reading_level.levels(docs.where("lang = 'en' and length(text) >= 300"), model).select("doc_id", "level")
+
+
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.term_counts(table(spark, d, "dark_texts"), "texts")
 
@@ -136,7 +142,7 @@ m AS (
 SELECT * FROM m WHERE mark IS NOT NULL""",
 }
 
-_QUERIES = [p1_found, p1_masked, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_sentences, p6_found, p6_counts, p7_found, p7_clean]
+_QUERIES = [p1_found, p1_masked, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_sentences, p6_found, p6_counts, p7_found, p7_clean, p10_found]
 
 
 def queries() -> dict:

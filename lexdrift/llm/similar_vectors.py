@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lexdrift.session import stage
 
-SAMPLE, GRAPH, PART_ROWS, PROBES = 12_000, 10, 1500, 6
+SAMPLE, GRAPH, PART_ROWS, PROBES = 12_000, 10, 1500, 8
 QUERY_BLOCK, INDEX_BLOCK = 20_000, 8_000
 
 
