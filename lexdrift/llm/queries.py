@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import markup, near_duplicates, personal_info, reading_level, repeated_lines, sentences, similar_vectors, term_counts
+from lexdrift.llm import markup, mixing, near_duplicates, packing, personal_info, reading_level, repeated_lines, sentences, similar_vectors, term_counts
 from lexdrift.llm.common import table, tagged
 
 
@@ -86,6 +86,22 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean(rows, markup.model(rows))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "bin_sizes"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, d))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(p9_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     model = reading_level.fit_levels(docs, table(spark, d, "level_labels"))
@@ -142,7 +158,7 @@ m AS (
 SELECT * FROM m WHERE mark IS NOT NULL""",
 }
 
-_QUERIES = [p1_found, p1_masked, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_sentences, p6_found, p6_counts, p7_found, p7_clean, p10_found]
+_QUERIES = [p1_found, p1_masked, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_sentences, p6_found, p6_counts, p7_found, p7_clean, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found]
 
 
 def queries() -> dict:

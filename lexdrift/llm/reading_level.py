@@ -119,9 +119,10 @@ def _measured(batches):
 def fit_levels(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> LevelModel:
     """From ``labels(doc_id, level)`` and ``documents(doc_id, text)``: ratings of a document are averaged, null ones ignored."""
     rated = labels.where("doc_id is not null and level is not null").groupBy("doc_id").agg(F.avg("level").alias("rated"))
+    # at most ``labelled`` pairs of numbers, so the broadcast below has a size bound
     drawn = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     rows = (
-        documents.where("text is not null").select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "text", "rated")
+        documents.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "rated")
         .mapInArrow(_measured, "doc_id bigint, x array<double>, rated double").collect()
     )
     rows.sort(key=lambda r: r["doc_id"])
