@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexdrift.plans import text, threads
+from lexdrift.plans import text, threads, vocabulary
 
-MODULES = [text, threads]
+MODULES = [text, threads, vocabulary]
 
 
 def queries() -> dict:
