@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexdrift.plans import text, threads, vocabulary
+from lexdrift.plans import evaluation, text, threads, vectors, vocabulary
 
-MODULES = [text, threads, vocabulary]
+MODULES = [text, threads, vocabulary, vectors, evaluation]
 
 
 def queries() -> dict:
