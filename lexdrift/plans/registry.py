@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexdrift.plans import evaluation, models, text, threads, vectors, vocabulary
+from lexdrift.plans import evaluation, models, streams, text, threads, vectors, vocabulary
 
-MODULES = [text, threads, vocabulary, vectors, evaluation, models]
+MODULES = [text, threads, vocabulary, vectors, evaluation, models, streams]
 
 
 def queries() -> dict:
