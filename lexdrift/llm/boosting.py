@@ -9,8 +9,9 @@ import numpy as np
 
 
 class BoostedTrees:
-    def __init__(self, classes: int, rounds: int = 20, depth: int = 4, rate: float = 0.3, bins: int = 32, ridge: float = 1.0) -> None:
+    def __init__(self, classes: int, rounds: int = 30, depth: int = 4, rate: float = 0.3, bins: int = 32, ridge: float = 1.0, columns: float = 0.6, seed: int = 3) -> None:
         self.classes, self.rounds, self.depth, self.rate, self.bins, self.ridge = classes, rounds, depth, rate, bins, ridge
+        self.columns, self.seed = columns, seed  # each tree sees this share of the columns, so that it does not lean on one of several signs
         self.edges: list[np.ndarray] = []
         self.trees: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []  # per round and class: feature, bin, leaf values
 
@@ -28,29 +29,31 @@ class BoostedTrees:
         b = self._binned(x)
         score = np.zeros((len(x), self.classes))
         hot = np.eye(self.classes)[y]
+        rng, d = np.random.default_rng(self.seed), x.shape[1]
         for _ in range(self.rounds):
             p = np.exp(score - score.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             trees = []
             for c in range(self.classes):
-                tree, at = self._tree(b, p[:, c] - hot[:, c], np.maximum(p[:, c] * (1 - p[:, c]), 1e-6))
+                seen = np.sort(rng.choice(d, max(1, round(self.columns * d)), replace=False))
+                tree, at = self._tree(b, seen, p[:, c] - hot[:, c], np.maximum(p[:, c] * (1 - p[:, c]), 1e-6))
                 score[:, c] += tree[2][at]
                 trees.append(tree)
             self.trees.append(trees)
         return self
 
-    def _tree(self, b: np.ndarray, g: np.ndarray, h: np.ndarray):
+    def _tree(self, b: np.ndarray, seen: np.ndarray, g: np.ndarray, h: np.ndarray):
         """A complete tree of ``depth`` levels in heap order; a node without a useful split sends all to the left."""
         inner = 2**self.depth - 1
         feature, limit = np.zeros(inner, np.int64), np.full(inner, 255, np.uint8)
         at = np.zeros(len(b), np.int64)
-        d, bins = b.shape[1], self.bins + 1
+        d, bins = len(seen), self.bins + 1
         for level in range(self.depth):
             first, width = 2**level - 1, 2**level
             here = at - first
             gh = np.zeros((2, width, d, bins))
             for j in range(d):
-                key = here * bins + b[:, j]
+                key = here * bins + b[:, seen[j]]
                 gh[0, :, j] = np.bincount(key, g, width * bins).reshape(width, bins)
                 gh[1, :, j] = np.bincount(key, h, width * bins).reshape(width, bins)
             left = gh.cumsum(3)
@@ -60,7 +63,8 @@ class BoostedTrees:
             best = flat.argmax(1)
             for n in range(width):
                 if flat[n, best[n]] > 1e-6:
-                    feature[first + n], limit[first + n] = divmod(int(best[n]), bins)
+                    j, limit[first + n] = divmod(int(best[n]), bins)
+                    feature[first + n] = seen[j]
             at = 2 * at + 1 + (b[np.arange(len(b)), feature[at]] > limit[at])
         at -= inner
         leaves = 2**self.depth

@@ -28,6 +28,7 @@ KINDS = ["other", "heading", "list_item", "code", "formula"]
 OTHER, HEADING, ITEM, CODE, FORMULA = range(5)
 SAMPLE_ROWS = 3000  # rows from which the model is fitted, at most
 NODES_AT_MOST = 60_000
+FORM_ROWS, RARE_TIMES = 2000, 50  # a rare form of a node is repeated to about so many rows, at most so many times
 
 # Regions whose content is not read further. The leftmost wins, so markup inside code stays code.
 _REGION = re.compile(
@@ -69,9 +70,10 @@ def _signs(raw: str) -> list[int]:
 
 FEATURES = (
     "tag mark depth children siblings same_before same_after position chars words symbols math codey density digits stop_end blank_before blank_after underlined "
-    "closed html md wiki latex attr_math attr_code lines upper colon_pairs has_item_near run currency own_start own_end"
+    "closed html md wiki latex attr_math attr_code lines upper colon_pairs has_item_near run currency own_start own_end math_box code_box"
 ).split()
 _FLOW = {"line", "p", "div", "blockquote", "ul", "td"}
+_MATH_BOX, _CODE_BOX = {"math", "span", "display", "env_math"}, {"pre", "source", "syntaxhighlight", "listing", "fence", "env_code"}
 TAGS = {t: i for i, t in enumerate("line h li pre source syntaxhighlight math fence env_code env_math span display inline indent code p div blockquote ul td listing".split())}
 
 
@@ -226,10 +228,18 @@ def features(raw: str, nodes: list[Node]) -> list[list[float]]:
             *(min(s, 9) for s in signs), float("tex" in n.attr or "display" in n.attr), float("code" in n.attr or "lang" in n.attr or "bb" in n.attr),
             t.count("\n") + 1, float(t[:1].isupper()), t.count(": "), min(items, 9), min(n.run, 9), float(t[:1] == "$" and t[1:2].isdigit()),
             float(n.start == 0 or raw[n.start - 1] in "\n>"), float(n.end == len(raw) or raw[n.end] in "\n<"),
+            float(n.tag in _MATH_BOX), float(n.tag in _CODE_BOX),
         ])
     return rows
 
 
+def design(rows: list[list[float]]) -> np.ndarray:
+    """Feature matrix with the two categorical features, tag and mark, spread over columns of their own."""
+    x = np.array(rows, float).reshape(-1, len(FEATURES))
+    tags, marks = np.eye(len(TAGS))[x[:, 0].astype(int)], np.eye(len(MARKS) + 1)[x[:, 1].astype(int)]
+    return np.concatenate([tags, marks, x[:, 2:]], axis=1)
+
+
 def seed_label(n: Node, raw: str, flat: str | None) -> int | None:
     """The kind of a node that leaves no doubt; None where the model must decide."""
     dropped = flat is not None and n.tag not in ("line", "h", "li", "p", "div", "blockquote", "ul", "td") and _squeeze(n.text)[:60] not in _squeeze(flat)
@@ -273,18 +283,23 @@ def _squeeze(t: str) -> str:
 def fit(comments: list[tuple[str, str | None]]) -> BoostedTrees:
     """Boosted trees from pairs of marked-up and flattened text."""
     x, y = [], []
+    forms: dict[tuple, list[int]] = {}
     for raw, flat in comments:
         nodes = parse(raw)
         for n, row in zip(nodes, features(raw, nodes)):
             label = seed_label(n, raw, flat)
             if label is not None:
+                forms.setdefault((n.tag, n.mark, n.under, label), []).append(len(x))
                 x.append(row)
                 y.append(label)
         if len(x) > NODES_AT_MOST:
             break
     if not x:
         x, y = [[0.0] * len(FEATURES)], [OTHER]
-    return BoostedTrees(len(KINDS)).fit(np.array(x, float), np.array(y))
+    at = list(range(len(x)))
+    for rows in forms.values():  # rare forms count as if there were more of them
+        at += rows * max(0, min(RARE_TIMES, FORM_ROWS // len(rows)) - 1)
+    return BoostedTrees(len(KINDS)).fit(design([x[i] for i in at]), np.array([y[i] for i in at]))
 
 
 def decode(nodes: list[Node], scores: np.ndarray) -> list[int]:
@@ -382,7 +397,7 @@ def model(df: DataFrame, raw: str = "raw_comments", flat: str = "comments", samp
 def _kinds_of(trees: BoostedTrees, comments: list[str]) -> tuple[list[list[Node]], list[list[int]]]:
     parsed = [parse(c) for c in comments]
     rows = [r for c, nodes in zip(comments, parsed) for r in features(c, nodes)]
-    scores = trees.scores(np.array(rows, float)) if rows else np.zeros((0, len(KINDS)))
+    scores = trees.scores(design(rows)) if rows else np.zeros((0, len(KINDS)))
     kinds, at = [], 0
     for nodes in parsed:
         kinds.append(decode(nodes, scores[at : at + len(nodes)]))
