@@ -119,7 +119,7 @@ def sentence_tokens(comments: Column) -> Column:
 
     def tokens(sentence: Column) -> Column:
         found = F.filter(word_tokens(deaccent(sentence)), lambda t: ~t.rlike(r"^\p{Nd}+$") & (F.length(t) > 1) & not_stopword(t))
-        return F.filter(F.transform(found, strip_edges), lambda t: t != "")
+        return F.filter(F.transform(found, lambda t: strip_edges(t)), lambda t: t != "")
 
     def one(comment: Column, ix: Column) -> Column:
         lines = F.split(mask(F.lower(F.trim(comment))), r"[\n\r\x0B\f\x1C-\x1E\x85  ]")

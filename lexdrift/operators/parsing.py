@@ -177,6 +177,10 @@ BOARD_DATE, MARKET_DATE = "MM-dd-yyyy, hh:mm a", "MMMM dd, yyyy, hh:mm a"
 PARSERS = {"board": (parse_board_page, BOARD_DATE), "links": (parse_link_page, None), "market": (parse_market_page, MARKET_DATE)}
 
 
+def _field(name: str):
+    return lambda p: p[name]  # of one parameter: a second one would be the place in the array
+
+
 def parse_pages(pages: DataFrame, kind: str, key: str = "id", dated: bool = False) -> DataFrame:
     """``(key, title, authors, raw_comments, comments, dates)`` of pages ``(key, html)``; posts whose date cannot be read are dropped when ``dated``."""
     parser, form = PARSERS[kind]
@@ -197,7 +201,7 @@ def parse_pages(pages: DataFrame, kind: str, key: str = "id", dated: bool = Fals
     if not (dated and form):
         return parsed.drop("said")
     posts = F.filter(F.arrays_zip("raw_comments", "comments", F.transform("said", lambda s: F.try_to_timestamp(s, F.lit(form))).alias("dates")), lambda p: p["dates"].isNotNull())
-    return parsed.withColumn("p", posts).select("id", "title", "authors", *(F.transform("p", lambda p, f=f: p[f]).alias(f) for f in ("raw_comments", "comments", "dates")))
+    return parsed.withColumn("p", posts).select("id", "title", "authors", *(F.transform("p", _field(f)).alias(f) for f in ("raw_comments", "comments", "dates")))
 
 
 def html_texts(rows: DataFrame, column: str) -> DataFrame:

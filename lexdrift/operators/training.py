@@ -125,16 +125,14 @@ class Kernel:
         grad_h = np.einsum("bo,bod->bd", g, v)
         _add(self.w_out, self.seen_out, out.reshape(-1), (g[..., None] * h[:, None, :]).reshape(-1, h.shape[1]), use.reshape(-1) > 0)
         spread = np.broadcast_to(grad_h[:, None, :], (*rows.shape, h.shape[1])) * mask[..., None]
-        if self.opt.cbow:
-            spread = spread * share[..., None] * 1.0
         _add(self.w_in, self.seen_in, rows.reshape(-1), spread.reshape(-1, h.shape[1]), mask.reshape(-1) > 0)
 
 
 def _add(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, grads: np.ndarray, use: np.ndarray) -> None:
-    """Add gradients; rows hit many times in one step are damped so that a step stays bounded."""
+    """Add gradients; a row hit more than four times in one step takes four times the mean, so that a step stays bounded."""
     rows, grads = rows[use], grads[use]
     n = np.bincount(rows, minlength=len(w))
-    damp = 1 / np.maximum(1.0, np.sqrt(n[rows] / 8))
+    damp = 1 / np.maximum(1.0, n[rows] / 4)
     np.add.at(w, rows, (grads * damp[:, None]).astype(w.dtype))
     seen += n
 

@@ -37,13 +37,13 @@ def pages(spark: SparkSession, path: str, pattern: str = "index.php*topic*", rec
     """``(path, html)`` of page files one level down, or anywhere below with ``recursive``."""
     r = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     r = r.option("recursiveFileLookup", "true").load(path) if recursive else r.load(f"{path.rstrip('/')}/*")
-    return r.select("path", F.decode("content", F.lit("UTF-8")).alias("html"))
+    return r.select("path", F.decode("content", "UTF-8").alias("html"))
 
 
 def crawled_pages(spark: SparkSession, path: str, body: str = "response_body", meta: str = "meta", without: str | None = None) -> DataFrame:
     """``(path, url, html)``: files named ``body`` anywhere below, with the url of the JSON file ``meta`` beside each."""
     read = lambda name: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(path).select(
-        F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.decode("content", F.lit("UTF-8")).alias("text")
+        F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.decode("content", "UTF-8").alias("text")
     )
     out = read(body).join(read(meta).select("dir", F.get_json_object("text", "$.url").alias("url")), "dir", "left")
     out = out.where(~F.col("dir").contains(without)) if without else out
@@ -203,7 +203,7 @@ def tokenized_texts(spark: SparkSession, path: str, forum: str, typed: bool = Tr
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     code = name if forum == "hackforums" else F.regexp_extract(name, r"^.+?(\d+)\.txt\.tok", 1)
     kind = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1) if typed else F.lit(None).cast("string")
-    return files.select(F.lit(forum).alias("forum"), code.alias("code"), kind.alias("type"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select(F.lit(forum).alias("forum"), code.alias("code"), kind.alias("type"), F.decode("content", "UTF-8").alias("text"))
 
 
 def analogy_questions(spark: SparkSession, path: str) -> DataFrame:
