@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 # Abbreviations that never end a sentence, and those that do before a capital.
 NEVER = {
-    "latin": "Dept approx vs e.g i.e vol sec ver Mr Mrs Ms Dr Prof Sr Sra Srta ca Nr Abt Acc cf env tel tél Tel bzw inkl zzgl vgl pág núm p.ej ul fig Fig art St Str Hr Fr Rev Gen Capt Lt Jr al.e".split(),
+    "latin": "Dept approx ext vs e.g i.e vol sec ver Mr Mrs Ms Dr Prof Sr Sra Srta ca Nr Abt Acc cf env tel tél Tel bzw inkl zzgl vgl pág núm p.ej ul fig Fig art St Str Hr Fr Rev Gen Capt Lt Jr al.e".split(),
     "cyrillic": "т ок тел ул стр рис см напр руб им гр проф т.е".split(),
     "devanagari": "नं रु डॉ श्री क्र".split(),
     "arabic": "د أ م ص".split(),
@@ -55,14 +55,13 @@ def _table(script: str) -> list[tuple[bool, re.Pattern, re.Pattern]]:
             (False, r"(?<!\w)(?i:no|nos|nr|p|pp|ch|pt)\.$", r"\d"),
             (False, r"(?<!\w)(?:d|z|u|o|i|s)\. ?(?:h|B|a|ä|d|R|o)\.$", r""),
             (False, r"(?<!\w)(?:d|z|u)\.$", r"[hBaä]\."),
-            (False, rf"(?<![\w.'’])[{UPPER}]\.$", r""),
             (False, r"(?<!\d)\d{1,2}\.$", rf"(?:{MONTHS})(?!\w)"),
             (False, r"^\s*\d{1,3}\.$", r""),
         ]
-    if script == "cyrillic":
-        rules.append((False, rf"(?<![\w.])[{UPPER}]\.$", rf"[{UPPER}]"))
-    # common to all
+    # common to all: initials of names, titles, suspension points
     rules += [
+        (False, rf"(?<![A-Za-zÀ-ÿА-яЁё0-9.'’])[{UPPER}]\.$", rf"[{UPPER}]" if script != "latin" else r""),
+        (False, r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr)\.$", r""),
         (False, r"(?:\.\.+|…)$", rf"[{LOWER}]"),
         (True, r"", r""),
     ]

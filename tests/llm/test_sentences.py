@@ -32,6 +32,8 @@ from lexdrift.llm import sentences as S
         ("एक बात। दो बात?", ["एक बात।", "दो बात?"]),
         ("ผมส่งแล้วครับ ใครซื้อ X บ้างคะ ดี", ["ผมส่งแล้วครับ", "ใครซื้อ X บ้างคะ", "ดี"]),
         ("قال: «جيد.» ثم ذهب. هل جئت؟ نعم", ["قال: «جيد.» ثم ذهب.", "هل جئت؟", "نعم"]),
+        ("请联系R. Haskalde，电话555。价格是5元", ["请联系R. Haskalde，电话555。", "价格是5元"]),
+        ("my number is 311 555 0149 ext. 26, text only", ["my number is 311 555 0149 ext. 26, text only"]),
         ("one\n\n  two \n", ["one", "two"]),
     ],
 )
