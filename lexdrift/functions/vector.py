@@ -20,8 +20,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Scaled to length 1; null for a zero vector."""
-    n = F.nullif(norm(a), F.lit(0.0))
-    return F.when(n.isNotNull(), F.transform(a, lambda x: x.cast("double") / n))
+    # the length is bound as the one element of an array, else it is worked out again for every number
+    return F.get(F.transform(F.array(F.nullif(norm(a), F.lit(0.0))), lambda n: F.when(n.isNotNull(), F.transform(a, lambda x: x.cast("double") / n))), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
