@@ -101,7 +101,7 @@ def eval_stats(vecs: DataFrame, counts: DataFrame, marks: DataFrame, **limits) -
 
 COMMANDS: dict[str, Callable] = {
     "preprocess": preprocess, "gettime": gettime, "prepare": prepare, "prepare_text2data": prepare_text2data, "text_stats": text_stats, "coverage": coverage, "vocab": vocab, "train": train,
-    "word2phrase": phrase, "parse_annotated": parse_annotated, "eval_stats": eval_stats, "compare_vectors": vectors.cross_model, "compare": vectors.distribution_report, "predict": vectors.predictions,
+    "phrases": phrase, "parse_annotated": parse_annotated, "eval_stats": eval_stats, "compare_vectors": vectors.cross_model, "compare": vectors.distribution_report, "predict": vectors.predictions,
     "distance": vectors.top_products, "word_analogy": vectors.analogies, "compute_accuracy": vectors.accuracy, "simulate": models.simulate_shift, "classes": models.spherical_kmeans, "linear_map": models.linear_maps,
 }
 
