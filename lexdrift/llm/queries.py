@@ -32,7 +32,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar words, whatever their cosine, of every word whose number is divisible by 20."""
-    found = similar_vectors.most_similar(table(spark, d, "syn0"), 10, queries="idx % 20 = 0", probes=24)
+    found = similar_vectors.most_similar(table(spark, d, "syn0"), 10, queries="idx % 20 = 0", probes=24, recall=0.96)
     return found.select("model", "idx", "near", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("bigint"))
 
 

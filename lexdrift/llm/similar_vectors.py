@@ -5,7 +5,9 @@ balanced centres give a start, then every vertex goes where its neighbours are,
 that are too full - and a linear softmax classifier learns which part a vector belongs to.
 
 Search: every vector is indexed in its most probable part and sent as a query to several most probable
-parts, where it is compared exactly. Only the comparison is partitioned; no row is left out.
+parts, where it is compared exactly. Only the comparison is partitioned; no row is left out. With a
+``recall`` the number of those parts is measured: some queries are compared with every row, and as many
+parts are searched as hold that share of their true neighbours.
 
 Skew: equal vectors are collapsed on the index side to the k + 1 of lowest number, which is all that a
 list of k neighbours can hold of them; parts with many queries or index rows are cut into blocks, so that
@@ -25,6 +27,7 @@ from lexdrift.session import stage
 
 SAMPLE, GRAPH, PART_ROWS, PROBES = 12_000, 10, 1500, 8
 QUERY_BLOCK, INDEX_BLOCK = 20_000, 8_000
+TRIED = 500  # queries per model that are compared with every row to measure the recall
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -137,7 +140,51 @@ def fit_parts(rows: DataFrame, dim: int, sample: int = SAMPLE, part_rows: int =
     return out
 
 
-def _route(parts: dict[str, PartClassifier], probes: int, dim: int):
+def measured_probes(rows: DataFrame, asked: DataFrame, parts: dict[str, PartClassifier], dim: int, k: int, least: float, probes: int, recall: float, tried: int = TRIED) -> dict[str, int]:
+    """Parts to search per model, at least ``probes``: so many that ``recall`` of the true k neighbours of ``tried`` queries lie in them.
+
+    ``asked`` are the rows of ``rows`` that are queries; those tried are chosen by a hash. Work and what
+    the tasks return are in proportion to the rows and to the tasks.
+    """
+    out = {m: min(probes, c.parts) for m, c in parts.items()}
+    trial = {}
+    for m in [m for m, c in parts.items() if c.parts > probes]:
+        drawn = asked.where(F.col("model") == m).orderBy(F.expr("xxhash64(idx, 2)"), "idx").limit(tried).select("idx", "vector").collect()
+        if drawn:
+            x = unit_rows(np.array([d["vector"] for d in drawn], np.float64).reshape(-1, dim)).astype(np.float32)
+            trial[m] = np.array([d["idx"] for d in drawn]), x, np.argsort(parts[m].top(x, parts[m].parts), axis=1)
+    if not trial:
+        return out
+
+    def near(batches):
+        best = {m: (np.full((len(q), k), -2, np.float32), np.zeros((len(q), k), np.int64)) for m, (q, _, _) in trial.items()}
+        for b in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
+            models, idx = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy()
+            x = unit_rows(_matrix(b.column(2), dim).astype(np.float64)).astype(np.float32)
+            for m in set(models) & set(trial):
+                at, (ids, q, places) = np.flatnonzero(models == m), trial[m]
+                s = q @ x[at].T
+                s[ids[:, None] == idx[at][None, :]] = -2
+                s = np.concatenate([best[m][0], s], axis=1)
+                place = np.concatenate([best[m][1], places[:, parts[m].top(x[at], 1)[:, 0]]], axis=1)
+                take = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                best[m] = np.take_along_axis(s, take, 1), np.take_along_axis(place, take, 1)
+        for m, (s, place) in best.items():
+            r, c = np.nonzero(s >= max(least, -1.5))
+            yield pa.RecordBatch.from_arrays([pa.array([m] * len(r), pa.string()), pa.array(r), pa.array(s[r, c].astype(np.float64)), pa.array(place[r, c])], names=["model", "q", "cosine", "place"])
+
+    found = rows.select("model", "idx", "vector").mapInArrow(near, "model string, q bigint, cosine double, place bigint")
+    true = found.selectExpr("*", "row_number() over (partition by model, q order by cosine desc, place) as rank").where(f"rank <= {k}")
+    held: dict[str, dict[int, int]] = {}
+    for r in true.groupBy("model", "place").count().collect():  # one row per model and part
+        held.setdefault(r["model"], {})[r["place"]] = r["count"]
+    for m, counts in held.items():
+        share = np.cumsum([counts.get(i, 0) for i in range(parts[m].parts)]) / sum(counts.values())
+        out[m] = max(out[m], int(np.searchsorted(share, recall)) + 1)
+    return out
+
+
+def _route(parts: dict[str, PartClassifier], probes: dict[str, int], dim: int):
     def run(batches):
         for b in batches:
             if not b.num_rows:
@@ -147,7 +194,7 @@ def _route(parts: dict[str, PartClassifier], probes: int, dim: int):
             routes: list = [None] * len(models)
             for m in set(models):
                 at = np.flatnonzero(models == m)
-                for i, best in zip(at, parts[m].top(x[at], probes).tolist()):
+                for i, best in zip(at, parts[m].top(x[at], probes[m]).tolist()):
                     routes[i] = best
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(routes, pa.list_(pa.int32()))], names=["model", "idx", "vector", "parts"])
 
@@ -192,19 +239,21 @@ def _compare(k: int, least: float, dim: int):
     return run
 
 
-def most_similar(df: DataFrame, k: int = 5, least: float = -1.0, dim: int = 64, probes: int = PROBES, sample: int = SAMPLE, part_rows: int = PART_ROWS, queries: str | None = None) -> DataFrame:
+def most_similar(df: DataFrame, k: int = 5, least: float = -1.0, dim: int = 64, probes: int = PROBES, sample: int = SAMPLE, part_rows: int = PART_ROWS, queries: str | None = None, recall: float | None = None) -> DataFrame:
     """``(model, idx, near, cosine, rank)``: up to k most similar rows of the same model for every row.
 
     ``df`` has ``(model, idx, vector)``. Vectors that are null, of another length, all zero or not finite
     take no part; repeated rows count once; ties go to the lower number. ``least`` is the smallest cosine
-    of interest, ``queries`` a condition on the rows that are asked for (all are indexed). An empty table
-    gives no rows.
+    of interest, ``queries`` a condition on the rows that are asked for (all are indexed). With ``recall``,
+    ``probes`` is the least number of parts searched and more are, as measured. An empty table gives no rows.
     """
     named = df.select(F.coalesce("model", F.lit("")).alias("model"), F.col("idx").cast("bigint").alias("idx"), F.col("vector").cast("array<float>").alias("vector"))
     rows = stage(named.where(F.col("idx").isNotNull() & usable("vector", dim)).dropDuplicates(["model", "idx"]), "vectors")
     parts = fit_parts(rows, dim, sample, part_rows)
     schema = "model string, idx bigint, vector array<float>, parts array<int>"
-    routed = stage(rows.mapInArrow(_route(parts, probes, dim), schema), "routed")
+    asked = rows.where(queries) if queries else rows
+    searched = measured_probes(rows, asked, parts, dim, k, least, probes, recall) if recall else dict.fromkeys(parts, probes)
+    routed = stage(rows.mapInArrow(_route(parts, searched, dim), schema), "routed")
     once = routed.selectExpr("*", "row_number() over (partition by model, xxhash64(vector), vector order by idx) as copy").where(f"copy <= {k + 1}")
     asked = (routed.where(queries) if queries else routed).select("model", "idx", "vector", F.explode("parts").alias("part"))
     index = once.select("model", "idx", "vector", F.element_at("parts", 1).alias("part"))

@@ -57,3 +57,18 @@ def test_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(S, "QUERY_BLOCK", 50)
     monkeypatch.setattr(S, "INDEX_BLOCK", 40)
     assert {tuple(r) for r in S.similar_pairs(_table(spark, rows), 5, 0.85, dim=4).collect()} == one
+
+
+def test_probes_grow_until_the_recall_holds(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    table = _table(spark, [("m", i, v.tolist(), 0, "") for i, v in enumerate(x)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[::20] @ u.T
+    s[np.arange(len(s)), np.arange(0, len(x), 20)] = -2
+    true = {(20 * i, int(j)) for i, row in enumerate(s) for j in np.argsort(-row)[:10]}
+    shares = []
+    for recall in (None, 0.95):
+        found = S.most_similar(table, 10, dim=16, part_rows=30, probes=8, queries="idx % 20 = 0", recall=recall).collect()
+        shares.append(len({(r.idx, r.near) for r in found} & true) / len(true))
+    assert shares[0] < 0.9 <= 0.94 <= shares[1]
