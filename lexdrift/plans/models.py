@@ -48,13 +48,13 @@ def huffman_codes(spark, d):
 
 
 def embed_cotrained(spark, d):
-    lines = table(spark, d, "documents").where("corpus is not null and lang = 'en'").select(
+    lines = table(spark, d, "documents").where("corpus is not null").select(
         F.when(F.col("corpus") == "good", 0).otherwise(1).alias("corpus"), F.col("doc_id").alias("line_id"), T.alphabetic_tokens(F.lower("text")).alias("tokens")
     )
     counts = V.two_corpus_counts(lines.select(F.when(F.col("corpus") == 0, "good").otherwise("bad").alias("corpus"), F.explode("tokens").alias("word")), lines.limit(0).select(F.lit("good").alias("corpus")))
     vocab = stage(V.indexed(counts, 5), "vocab")
     encoded = stage(TR.encode(lines, vocab), "encoded")
-    w_in, _, _ = TR.train(encoded, vocab, TR.Options(dim=32, epochs=2, negative=5))
+    w_in, _, _ = TR.train(encoded, vocab, TR.Options())
     return X.cross_model(TR.as_vectors(vocab, {"good": w_in[0], "bad": w_in[1]})).select("word", F.round("sim", 6).alias("sim"))
 
 
