@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexdrift.functions import text as T
@@ -11,6 +12,8 @@ from lexdrift.operators import phrases as P
 from lexdrift.operators import vectors as X
 from lexdrift.plans.common import SQL_VECTORS, table, vectors
 
+LONG = 1000  # predictions of a word that are compared; the queries with SQL of 100 keep theirs
+_JACS = [f"jac{k}_{a}" for k in (40, 100, LONG) for a in ("gb", "bb")]
 
 
 def _queries(rows):
@@ -105,10 +108,22 @@ def _top_lists(v, k):
     return out
 
 
-def prediction_overlap(spark, d):
-    lists = _top_lists(vectors(spark, d), 100)
+def _overlap(lists, *ks):
     jac = lambda a, b, k: F.round(V.jaccard(F.slice(a, 1, k), F.slice(b, 1, k)), 9)
-    return lists.select("qid", *(jac(a, "gg", k).alias(f"jac{k}_{a}") for k in (40, 100) for a in ("gb", "bb")))
+    return lists.select("qid", *(jac(a, "gg", k).alias(f"jac{k}_{a}") for k in ks for a in ("gb", "bb")))
+
+
+def prediction_overlap(spark, d):
+    return _overlap(_top_lists(vectors(spark, d), 100), 40, 100)
+
+
+def prediction_overlap_long(spark, d):
+    return _overlap(_top_lists(vectors(spark, d), LONG), 40, 100, LONG)
+
+
+def prediction_stats_long(spark, d):
+    s = E.describe(prediction_overlap_long(spark, d), *_JACS)
+    return s.select("measure", *(F.round(c, 6).alias(c) for c in ("mean", "max", "min", "median", "std")))
 
 
 def prediction_stats(spark, d):
@@ -117,19 +132,33 @@ def prediction_stats(spark, d):
 
 
 def prediction_correlation(spark, d):
-    lists = _top_lists(vectors(spark, d), 100)
+    lists = _top_lists(vectors(spark, d), LONG)
     return E.rank_correlation(lists, "gb", "gg").select("qid", F.round("correlation", 6).alias("correlation"), F.round("pvalue", 6).alias("pvalue"))
 
 
-def prediction_spread(spark, d):
-    v = vectors(spark, d)
-    p = X.predictions(_queries(_raw(v, "bad")), _raw(v, "good"), 100, clamp=False)
+def _spread(v, k):
+    p = X.predictions(_queries(_raw(v, "bad")), _raw(v, "good"), k, clamp=False)
     return p.groupBy("qid").agg(F.round(F.stddev_pop("p"), 8).alias("prob_std"))
 
 
+def prediction_spread(spark, d):
+    return _spread(vectors(spark, d), 100)
+
+
+def prediction_spread_long(spark, d):
+    return _spread(vectors(spark, d), LONG)
+
+
+def observed_contexts(spark, d):
+    """The 40 contexts that stand most often beside each word; ``softmax_prediction_clamped`` has the 40 most probable."""
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n"), "idx")).cast("bigint")
+    return _observed(spark, d, vectors(spark, d)).withColumn("rank", rank).where("rank <= 40")
+
+
 QUERIES = [
     cross_model_cosine, vector_compare, vector_distances, knn, phrase_query_knn, cosine_matrix, cross_model_neighbours, analogy, analogy_accuracy, softmax_prediction, softmax_prediction_clamped,
     distribution_compare, prediction_overlap, prediction_stats, prediction_correlation, prediction_spread,
+    prediction_overlap_long, prediction_stats_long, prediction_spread_long, observed_contexts,
 ]
 
 _BOTH = f"WITH {SQL_VECTORS}, both_ AS (SELECT g.word, g.idx, g.vector AS a, b.vector AS b FROM vectors g JOIN vectors b ON g.idx = b.idx WHERE g.model = 'good' AND b.model = 'bad')"
@@ -173,6 +202,7 @@ def _jac(a: str, k: int) -> str:
 
 
 _OVERLAP = f"{_lists(100)}, o AS (SELECT gb.qid, {', '.join(_jac(a, k) for k in (40, 100) for a in ('gb', 'bb'))} FROM gb JOIN gg ON gb.qid = gg.qid JOIN bb ON gb.qid = bb.qid)"
+_OVERLAP_LONG = f"{_lists(LONG)}, o AS (SELECT gb.qid, {', '.join(_jac(a, k) for k in (40, 100, LONG) for a in ('gb', 'bb'))} FROM gb JOIN gg ON gb.qid = gg.qid JOIN bb ON gb.qid = bb.qid)"
 _ROOTS = "list_sum(list_transform(list_zip(a, b), lambda x: sqrt(abs(x[1]) * abs(x[2]))))"
 _SUM = "list_sum(list_transform({0}, lambda x: abs(x)))"
 ORACLES = {
@@ -193,6 +223,10 @@ SELECT section, CAST(count(*) FILTER (WHERE answer = expected) AS BIGINT) AS cor
     "prediction_overlap": f"{_OVERLAP} SELECT * FROM o",
     "prediction_stats": f"""{_OVERLAP}, u AS (UNPIVOT o ON jac40_gb, jac100_gb, jac40_bb, jac100_bb INTO NAME measure VALUE x)
 SELECT measure, round(avg(x), 6) AS mean, round(max(x), 6) AS max, round(min(x), 6) AS min, round(median(x), 6) AS median, round(stddev_pop(x), 6) AS std FROM u GROUP BY measure""",
+    "prediction_overlap_long": f"{_OVERLAP_LONG} SELECT * FROM o",
+    "prediction_stats_long": f"""{_OVERLAP_LONG}, u AS (UNPIVOT o ON {', '.join(_JACS)} INTO NAME measure VALUE x)
+SELECT measure, round(avg(x), 6) AS mean, round(max(x), 6) AS max, round(min(x), 6) AS min, round(median(x), 6) AS median, round(stddev_pop(x), 6) AS std FROM u GROUP BY measure""",
+    "prediction_spread_long": f"{_softmax(False)} SELECT qid, round(stddev_pop(p), 8) AS prob_std FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY p DESC, idx) <= {LONG}) GROUP BY qid",
     "distribution_compare": rf"""WITH {SQL_VECTORS}, words AS (SELECT idx, word FROM vectors WHERE model = 'good'),
 w AS (SELECT line_id, generate_subscripts(t, 1) AS pos, unnest(t) AS word FROM (SELECT line_id, regexp_extract_all(texts, '\S+') AS t FROM dark_texts)),
 k AS (SELECT line_id, idx, row_number() OVER (PARTITION BY line_id ORDER BY pos) AS i FROM w JOIN words USING (word)),

@@ -1,10 +1,13 @@
 """Queries do the whole job: every row, every list and the defaults, on small tables."""
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from lexdrift.operators import training as TR
 from lexdrift.plans import models as PM
+from lexdrift.plans import registry as R
+from lexdrift.plans import vectors as PV
 
 
 def _write(df, d, name):
@@ -20,3 +23,25 @@ def test_embedding_trains_on_every_language_with_the_defaults(spark, tmp_path, m
     got = {r.word: r.sim for r in PM.embed_cotrained(spark, str(tmp_path)).collect()}
     assert set(got) == {"one", "two", "drei", "vier", "cinq", "six"} and used == [TR.Options()]
     assert all(-1 <= s <= 1 for s in got.values())
+
+
+def _vectors(spark, d, n):
+    x = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.col("idx") * i * F.when(F.col("model") == "good", 1.7).otherwise(2.9) + i))
+    rows = spark.range(n).withColumnRenamed("id", "idx").crossJoin(spark.createDataFrame([("good",), ("bad",)], "model string"))
+    _write(rows.select("model", "idx", F.concat(F.lit("w"), "idx").alias("word"), x.cast("array<float>").alias("vector")), d, "syn0")
+
+
+def test_predictions_are_compared_over_a_thousand(spark, tmp_path):
+    _vectors(spark, tmp_path, 1400)
+    d = str(tmp_path)
+    seen = []
+    correlate = PV.E.rank_correlation
+    PV.E.rank_correlation = lambda lists, a, b: seen.append(lists.select(F.min(F.size(a)), F.min(F.size(b))).first()) or correlate(lists, a, b)
+    try:
+        assert PV.prediction_correlation(spark, d).count() == 70
+    finally:
+        PV.E.rank_correlation = correlate
+    assert tuple(seen[0]) == (1000, 1000)
+    con = oracle.connect(d)
+    for name in ("prediction_overlap_long", "prediction_spread_long"):
+        assert oracle.assert_same(R.queries()[name](spark, d), con, R.oracle_sql()[name], name) == 70
