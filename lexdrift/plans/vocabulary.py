@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lexdrift.functions import text as T
 from lexdrift.operators import phrases as P
 from lexdrift.operators import vocabulary as V
-from lexdrift.plans.common import SQL_COUNTS, table, threads, word_counts
+from lexdrift.plans import commands
+from lexdrift.plans.common import DARK, SQL_COUNTS, WHITE, table, threads, word_counts
 
 FORUMS = ["nulled", "hackforums", "darkode", "silkroad_fts"]
 
@@ -44,16 +45,10 @@ def shared_or_frequent(spark, d):
     return V.shared_or_frequent(dark, white)
 
 
-def _sentences(spark, d):
-    # comments keep their order in the array, so the place of a sentence is counted over the flattened thread
-    flat = table(spark, d, "darkode").select("row_id", F.flatten(F.filter(T.sentence_tokens(F.col("comments")), lambda s: s.isNotNull())).alias("all"))
-    return flat.select(F.col("row_id").alias("thread"), F.posexplode("all").alias("at", "tokens"))
-
-
 def aligned_sentences(spark, d):
-    white = table(spark, d, "reddit").select(F.explode(T.blank_tokens(F.col("texts"))).alias("word"))
-    dark = table(spark, d, "dark_texts").select(F.explode(T.blank_tokens(F.col("texts"))).alias("word"))
-    return V.aligned_lines(_sentences(spark, d), white.union(dark).distinct()).select(F.col("thread").alias("row_id"), "line")
+    sides = commands.prepare(*(threads(spark, d, names, "row_id", "comments") for names in (DARK, WHITE)))
+    dark, white = (sides[n].select(F.lit(n).alias("side"), "forum", "row_id", "line") for n in ("dark", "white"))
+    return dark.union(white)
 
 
 def without_rare_words(spark, d):

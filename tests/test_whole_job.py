@@ -8,6 +8,7 @@ from lexdrift.operators import training as TR
 from lexdrift.plans import models as PM
 from lexdrift.plans import registry as R
 from lexdrift.plans import vectors as PV
+from lexdrift.plans import vocabulary as PW
 
 
 def _write(df, d, name):
@@ -45,3 +46,15 @@ def test_predictions_are_compared_over_a_thousand(spark, tmp_path):
     con = oracle.connect(d)
     for name in ("prediction_overlap_long", "prediction_spread_long"):
         assert oracle.assert_same(R.queries()[name](spark, d), con, R.oracle_sql()[name], name) == 70
+
+
+def test_aligned_sentences_of_both_sides_are_of_shared_or_frequent_words(spark, tmp_path):
+    texts = {
+        "nulled": ["shared words here. only dark stays.", "often " * 200], "hackforums": ["shared words."], "darkode": ["often shared."], "reddit": ["shared words here. only white leaves."],
+    }
+    for name, comments in texts.items():
+        _write(spark.createDataFrame([(1, comments)], "row_id bigint, comments array<string>"), tmp_path, name)
+    got = {(r.side, r.forum): r.line.split() for r in PW.aligned_sentences(spark, str(tmp_path)).collect()}
+    assert set(got) == {("dark", "nulled"), ("dark", "hackforums"), ("dark", "darkode"), ("white", "reddit")}
+    assert not {"dark", "stays", "white", "leaves"} & {w for line in got.values() for w in line}
+    assert "often" in got["dark", "darkode"] and "words" in got["white", "reddit"]
