@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexdrift.functions.text import span, word_tokens
 from lexdrift.operators import vectors as X
+from lexdrift.operators.threads import search_lines
 
 
 def candidates(vectors: DataFrame, counts: DataFrame, least_good: int = 100, least_bad: int = 50, ceiling: float = 0.3) -> DataFrame:
@@ -73,6 +74,25 @@ def missed(cands: DataFrame, marks: DataFrame, vectors: DataFrame, counts: DataF
     return rest.join(sims, "word", "left").join(counts, "word", "left").select("word", "sim", "gcn", "bcn", F.lit(None).cast("string").alias("bad_sen"), F.lit(None).cast("string").alias("good_sen"), "label")
 
 
+def sample_lines(words: DataFrame, threads: DataFrame, name: str) -> DataFrame:
+    """``(word, name)``: the lines of ``threads(forum, comments)`` that hold the word, each after its forum, in order, joined by dots."""
+    lines = search_lines(threads, words).select("word", F.concat(F.lit("["), "forum", F.lit("] "), "line").alias("line"))
+    return lines.groupBy("word").agg(F.array_join(F.sort_array(F.collect_set("line")), "...... ").alias(name))
+
+
+def with_samples(cands: DataFrame, dark: DataFrame, white: DataFrame) -> DataFrame:
+    """Candidates with ``bad_sen`` and ``good_sen``, their lines in the dark and in the white threads, empty without one."""
+    words = cands.select("word")
+    out = cands.join(sample_lines(words, dark, "bad_sen"), "word", "left").join(sample_lines(words, white, "good_sen"), "word", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("bad_sen", "good_sen")})
+
+
+def missed_explained(cands: DataFrame, marks: DataFrame, vectors: DataFrame, counts: DataFrame, k: int = 100, least: int = 10) -> DataFrame:
+    """The rows of ``missed`` with the three lists of near words of ``explained``, null for words without vectors."""
+    words = vectors.where("model = 'good'").select("word", "idx")
+    return explained(missed(cands, marks, vectors, counts).join(words, "word", "left"), vectors, counts, k, least)
+
+
 def dated_tokens(tokens: DataFrame, dates: DataFrame, more_than: int = 3) -> DataFrame:
     """``(token, thread, start_date, end_date)``: tokens of threads of more than ``more_than`` distinct tokens, with the thread's dates.
 

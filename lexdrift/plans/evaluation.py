@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lexdrift.functions import text as T
 from lexdrift.operators import evaluation as E
-from lexdrift.plans.common import SQL_COUNTS, SQL_VECTORS, table, vectors, word_counts
+from lexdrift.plans.common import DARK, SQL_COUNTS, SQL_VECTORS, WHITE, table, threads, vectors, word_counts
+from lexdrift.session import stage
 
 # The test vectors are unrelated across models, so floors and ceiling are smaller than the defaults.
 LIMITS = {"least_good": 10, "least_bad": 5, "ceiling": 0.3}
@@ -25,6 +26,22 @@ def candidate_neighbours(spark, d):
     return c.select("rank", "word", "sim", *(F.coalesce(x, F.lit("")).alias(x) for x in ("good_interpretation", "bad_interpretation", "normal_interpretation")))
 
 
+_NEAR = ["good_interpretation", "bad_interpretation", "normal_interpretation"]
+
+
+def explained_candidates(spark, d):
+    """The candidates with all 100 neighbours of sufficient count and their sample lines."""
+    cands = stage(_candidates(spark, d), "candidates")
+    c = E.explained(cands, vectors(spark, d), word_counts(spark, d))
+    full = E.with_samples(c, threads(spark, d, DARK, "comments"), threads(spark, d, WHITE, "comments"))
+    return full.select("rank", "word", "sim", *(F.coalesce(x, F.lit("")).alias(x) for x in _NEAR), "bad_sen", "good_sen")
+
+
+def explained_missed(spark, d):
+    m = E.missed_explained(_candidates(spark, d), annotation_labels(spark, d), vectors(spark, d), word_counts(spark, d))
+    return m.select("word", "sim", "gcn", "bcn", *(F.coalesce(x, F.lit("")).alias(x) for x in _NEAR), "bad_sen", "good_sen", "label")
+
+
 def _spans(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     start = F.col("doc_id") % 50
@@ -78,7 +95,7 @@ def similarity_points(spark, d):
     return s.select("word", F.round("sim", 6).alias("sim"), F.col("cn").alias("occurrence"))
 
 
-QUERIES = [shift_candidates, candidate_neighbours, annotation_tokens, annotation_labels, labelled_candidates, missed_annotations, token_dates, token_first_last, thread_date_range, event_dates, similarity_points]
+QUERIES = [shift_candidates, candidate_neighbours, explained_candidates, explained_missed, annotation_tokens, annotation_labels, labelled_candidates, missed_annotations, token_dates, token_first_last, thread_date_range, event_dates, similarity_points]
 
 _CANDS = f"""{SQL_VECTORS}, {SQL_COUNTS},
 sims AS (SELECT g.word, g.idx, round(list_dot_product(g.vector, b.vector) / (sqrt(list_dot_product(g.vector, g.vector)) * sqrt(list_dot_product(b.vector, b.vector))), 6) AS sim

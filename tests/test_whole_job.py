@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexdrift.operators import training as TR
+from lexdrift.plans import evaluation as PE
 from lexdrift.plans import models as PM
 from lexdrift.plans import registry as R
 from lexdrift.plans import vectors as PV
@@ -58,3 +59,22 @@ def test_aligned_sentences_of_both_sides_are_of_shared_or_frequent_words(spark,
     assert set(got) == {("dark", "nulled"), ("dark", "hackforums"), ("dark", "darkode"), ("white", "reddit")}
     assert not {"dark", "stays", "white", "leaves"} & {w for line in got.values() for w in line}
     assert "often" in got["dark", "darkode"] and "words" in got["white", "reddit"]
+
+
+def test_candidates_have_all_neighbours_and_sample_lines(spark, tmp_path):
+    _vectors(spark, tmp_path, 150)
+    d = str(tmp_path)
+    _write(spark.range(150).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(40).alias("cn"), F.lit(20).alias("gcn"), F.lit(20).alias("bcn")), d, "goodbad_vocab")
+    for name in ("nulled", "hackforums", "darkode", "reddit"):
+        _write(spark.createDataFrame([(1, [f"W{i} in {name}\nelse w{i}x" for i in range(150)])], "row_id bigint, comments array<string>"), d, name)
+    _write(spark.createDataFrame([(0, "s", "nowhere w1")], "doc_id bigint, source string, text string"), d, "documents")
+    _write(spark.createDataFrame([(0, 1)], "doc_id bigint, level int"), d, "level_labels")
+    got = PE.explained_candidates(spark, d).collect()
+    assert got
+    for r in got:
+        w = r.word[1:]
+        assert all(len(x.split()) == 100 for x in (r.good_interpretation, r.bad_interpretation, r.normal_interpretation))
+        assert r.bad_sen == "...... ".join(f"[{n}] W{w} in {n}" for n in ("darkode", "hackforums", "nulled")) and r.good_sen == f"[reddit] W{w} in reddit"
+    missed = {r.word: r for r in PE.explained_missed(spark, d).collect()}
+    assert missed["nowhere"].good_interpretation == ""
+    assert {"w1"} & ({r.word for r in got} | set(missed)) and all(len(r.normal_interpretation.split()) == 100 for w, r in missed.items() if w == "w1")
