@@ -43,7 +43,9 @@ def simulate_shift(spark, d):
 
 
 def huffman_codes(spark, d):
-    counts = word_counts(spark, d).where("cn >= 5").orderBy(F.desc("cn"), "word").limit(TR.WORDS_AT_MOST).select("word", "cn").collect()
+    counts = word_counts(spark, d).where("cn >= 5").orderBy(F.desc("cn"), "word").limit(TR.WORDS_AT_MOST + 1).select("word", "cn").collect()
+    if len(counts) > TR.WORDS_AT_MOST:
+        raise ValueError(f"more than {TR.WORDS_AT_MOST} words of a count of 5 at least")
     return spark.createDataFrame([(w, c) for w, c, _ in V.huffman([(r["word"], r["cn"]) for r in counts])], "word string, code string")
 
 

@@ -78,3 +78,12 @@ def test_candidates_have_all_neighbours_and_sample_lines(spark, tmp_path):
     missed = {r.word: r for r in PE.explained_missed(spark, d).collect()}
     assert missed["nowhere"].good_interpretation == ""
     assert {"w1"} & ({r.word for r in got} | set(missed)) and all(len(r.normal_interpretation.split()) == 100 for w, r in missed.items() if w == "w1")
+
+
+def test_huffman_codes_refuse_a_cut_vocabulary(spark, tmp_path, monkeypatch):
+    _write(spark.range(6).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(9).alias("cn"), F.lit(5).alias("gcn"), F.lit(4).alias("bcn")), tmp_path, "goodbad_vocab")
+    monkeypatch.setattr(TR, "WORDS_AT_MOST", 6)
+    assert PM.huffman_codes(spark, str(tmp_path)).count() == 6
+    monkeypatch.setattr(TR, "WORDS_AT_MOST", 5)
+    with pytest.raises(ValueError, match="more than 5 words"):
+        PM.huffman_codes(spark, str(tmp_path))
