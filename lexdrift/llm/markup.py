@@ -38,7 +38,7 @@ _REGION = re.compile(
   | (?P<env>\\begin\{(?P<name>verbatim\*?|lstlisting|minted|Verbatim|equation\*?|align\*?|displaymath|math|gather\*?|eqnarray\*?)\}.*?\\end\{(?P=name)\})
   | (?P<span><span\b(?P<cls>[^>]*\bclass=["']?(?:tex|math|katex|latex)\b[^>]*)>.*?</span\s*>)
   | (?P<display>(?<!\\)\$\$.+?(?<!\\)\$\$|\\\[.+?\\\])
-  | (?P<inline>\\\(.+?\\\)|(?<![\\$\w])\$(?=[^\s$])[^$\n]{0,200}?[^\s\\$]\$(?![\w$]))
+  | (?P<inline>\\\(.+?\\\)|(?<![\\$\w])\$(?=[^\s$])[^$\n]*?[^\s\\$]\$(?![\w$]))
     )""",
     re.X | re.S | re.M | re.I,
 )
@@ -242,7 +242,7 @@ def design(rows: list[list[float]]) -> np.ndarray:
 
 def seed_label(n: Node, raw: str, flat: str | None) -> int | None:
     """The kind of a node that leaves no doubt; None where the model must decide."""
-    dropped = flat is not None and n.tag not in ("line", "h", "li", "p", "div", "blockquote", "ul", "td") and _squeeze(n.text)[:60] not in _squeeze(flat)
+    dropped = flat is not None and n.tag not in ("line", "h", "li", "p", "div", "blockquote", "ul", "td") and _squeeze(n.text) not in _squeeze(flat)
     if n.tag == "h":
         return HEADING
     if n.tag == "li":
