@@ -108,6 +108,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading_level.levels(docs.where("lang = 'en' and length(text) >= 300"), model).select("doc_id", "level")
 
 
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The level of every document, whatever its language and length; ``p10_found`` has those of its definition."""
+    docs = table(spark, d, "documents")
+    model = reading_level.fit_levels(docs, table(spark, d, "level_labels"))
+    return reading_level.levels(docs, model).select("doc_id", "level")
+
+
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.term_counts(table(spark, d, "dark_texts"), "texts")
 
@@ -158,7 +165,7 @@ m AS (
 SELECT * FROM m WHERE mark IS NOT NULL""",
 }
 
-_QUERIES = [p1_found, p1_masked, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_sentences, p6_found, p6_counts, p7_found, p7_clean, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found]
+_QUERIES = [p1_found, p1_masked, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_sentences, p6_found, p6_counts, p7_found, p7_clean, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found, p10_levels]
 
 
 def queries() -> dict:
