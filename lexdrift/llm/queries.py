@@ -102,6 +102,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(p9_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_margins(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and actual shares of sources, languages and topics."""
+    made = mixing.plan(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.margin_report(mixing.draw(made), made)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     model = reading_level.fit_levels(docs, table(spark, d, "level_labels"))
@@ -165,7 +171,7 @@ m AS (
 SELECT * FROM m WHERE mark IS NOT NULL""",
 }
 
-_QUERIES = [p1_found, p1_masked, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_sentences, p6_found, p6_counts, p7_found, p7_clean, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found, p10_levels]
+_QUERIES = [p1_found, p1_masked, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_sentences, p6_found, p6_counts, p7_found, p7_clean, p8_packed, p8_fill, p9_mixture, p9_shares, p9_margins, p10_found, p10_levels]
 
 
 def queries() -> dict:

@@ -8,7 +8,7 @@ import os
 
 # Fixed value: the pattern by which these rank files split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-RANKS = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_multi_50k.tiktoken")
+RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"  # the default of the operators' ``path``; the file must lie there on every worker
 
 
 @functools.lru_cache(maxsize=2)
@@ -21,7 +21,12 @@ def encoder(path: str = RANKS, pattern: str = PATTERN):
     return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def sizes(texts: list[str | None], path: str = RANKS) -> list[int]:
-    """Tokens of each text; none for null and empty texts. Special strings count as ordinary text."""
+def numbers(texts: list[str | None], path: str = RANKS) -> list[list[int]]:
+    """Token numbers of each text; none for null and empty texts. Special strings count as ordinary text."""
     e = encoder(path)
-    return [len(e.encode_ordinary(t)) if t else 0 for t in texts]
+    return [e.encode_ordinary(t) if t else [] for t in texts]
+
+
+def sizes(texts: list[str | None], path: str = RANKS) -> list[int]:
+    """Tokens of each text."""
+    return [len(x) for x in numbers(texts, path)]

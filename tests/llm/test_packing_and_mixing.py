@@ -68,12 +68,15 @@ def test_rake_meets_shares_under_caps():
     rng = random.Random(5)
     cells = [(s, lang, t, float(rng.randint(1, 1000))) for s in "abc" for lang in ("en", "de") for t in ("x", "y")]
     targets = {"a": (0.5, 2), "b": (0.3, 4), "c": (0.2, 8)}
-    w, total = X.rake(cells, targets)
+    w, total, wanted = X.rake(cells, targets)
     for s, (share, cap) in targets.items():
         used = sum(x * c[3] for x, c in zip(w, cells) if c[0] == s)
         assert used == pytest.approx(share * total, rel=1e-6)
         assert all(x <= cap + 1e-9 for x, c in zip(w, cells) if c[0] == s)
-    smaller, size = X.rake(cells, targets, total=100.0)
+    for axis, at in (("lang", 1), ("topic", 2)):
+        for v, share in wanted[axis].items():
+            assert sum(x * c[3] for x, c in zip(w, cells) if c[at] == v) == pytest.approx(share * total, rel=0.02)
+    smaller, size, _ = X.rake(cells, targets, total=100.0)
     assert size == 100.0 and sum(x * c[3] for x, c in zip(smaller, cells)) == pytest.approx(100.0)
 
 
@@ -89,4 +92,43 @@ def test_mixture(spark):
         assert report[s].actual_share == pytest.approx(share, abs=0.01) and report[s].most_copies <= cap
     assert {r.source for r in mixed.select("source").distinct().collect()} == {"a", "b", "c"}
     assert X.mixture(docs.limit(0), targets).count() == 0
+    more = targets.union(spark.createDataFrame([("gone", 0.5, 2, 0)], targets.schema))  # a source without documents
+    made = X.plan(docs, more)
+    with_gone = X.draw(made)
+    again = {r.source: r for r in X.share_report(with_gone, more).collect()}
+    assert again["gone"].tokens == 0 and again["a"].actual_share == pytest.approx(0.4, abs=0.01)
+    margins = X.margin_report(with_gone, made).collect()
+    for axis in ("source", "lang", "topic"):
+        mine = [r for r in margins if r.axis == axis]
+        assert sum(r.actual_share for r in mine) == pytest.approx(1) and sum(r.wanted_share for r in mine) == pytest.approx(1)
+        assert all(abs(r.actual_share - r.wanted_share) < 0.06 for r in mine)
     assert [tuple(r) for r in mixed.orderBy("doc_id").limit(50).collect()] == [tuple(r) for r in X.mixture(docs.repartition(7), targets).orderBy("doc_id").limit(50).collect()]
+
+
+def test_weights_are_inclusion_probabilities(spark):
+    docs = spark.createDataFrame([(i, "a", "en", "t", 10 + i % 7) for i in range(400)], "doc_id bigint, source string, lang string, topic string, tokens bigint")
+    drawn = [0] * 400
+    for seed in range(12):
+        for r in X.draw(X.Plan(docs, [("a", "en", "t", 1.3, 1)], {}), seed).collect():
+            assert r.copies in (1, 2)
+            drawn[r.doc_id] += r.copies
+    assert sum(drawn) / 12 == pytest.approx(520, abs=1) and min(drawn) >= 12 and len(set(drawn)) > 5
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_mixture_of_the_tables(spark, scale):
+    from lexdrift.llm import queries as Q
+    from lexdrift.llm.common import table
+
+    d = f"/root/testdata/{scale}"
+    mixed = Q.p9_mixture(spark, d).collect()
+    caps = {r.source: r for r in table(spark, d, "mix_targets").collect()}
+    whole = sum(r.tokens * r.copies for r in mixed)
+    there = {r.source for r in table(spark, d, "documents").where("text <> ''").select("source").distinct().collect()} & set(caps)
+    assert {r.source for r in mixed} == there and whole > 0
+    left = sum(caps[s].target_share for s in there)
+    for s in there:
+        mine = [r for r in mixed if r.source == s]
+        assert max(r.copies for r in mine) <= caps[s].max_repeats
+        largest = max(r.tokens for r in mine)
+        assert abs(sum(r.tokens * r.copies for r in mine) - caps[s].target_share / left * whole) <= 2 * largest
