@@ -56,6 +56,45 @@ def test_every_visible_character_is_in_one_sentence(text):
     assert len(starts) >= lines
 
 
+MARKS = ".!?…。！？।؟︒｡\"'’”“»«„‚‘「」『』()[]¿¡:;)-—,، "
+LETTERS = "aBéßÑжЯبم한가日本かカहिสวค19"
+
+
+@given(st.text(alphabet=MARKS + LETTERS, max_size=80))
+def test_any_script_with_any_marks(text):
+    starts = S.sentence_starts(text)
+    assert starts == sorted(set(starts)) and all(not text[s].isspace() for s in starts)
+    assert "".join("".join(S.split_sentences(text)).split()) == "".join(text.split())
+
+
+@pytest.mark.parametrize("text, n", [("مرحبا بكم.» كيف حالك اليوم.", 2), ("สวัสดี.) ทดสอบ.", 2), ("यह ठीक है।) फिर मिलेंगे।", 2), ("ok.) Next.", 2), ("好。」下一个。", 1)])
+def test_closing_marks_without_opening_ones(text, n):
+    assert len(S.sentence_starts(text)) == n
+
+
+@pytest.mark.parametrize(
+    "line, language",
+    [("Das ist nicht neu.", "de"), ("Le prix est bon.", "fr"), ("El precio es bueno.", "es"), ("The price is good.", "en"), ("Xolit 45.", "latin"), ("価格は安い", "ja"), ("价格很低", "zh"), ("цена", "ru"), ("قال", "ar"), ("एक", "hi"), ("ผม", "th")],
+)
+def test_language_of(line, language):
+    assert S.language_of(line) == language
+
+
+def test_rules_see_as_far_back_as_they_need():
+    assert S.split_sentences("x (" + "word " * 5000 + "end. More) goes on. Next.")[-1] == "Next."
+    long = "A" + "b" * 3000
+    assert S.split_sentences(f"Stop {long}.Again now.") == [f"Stop {long}.", "Again now."]
+
+
+@pytest.mark.parametrize("piece", ["(", "«", '"', "A. ", "' ", "„", "(a. ", ":( ", "1. ", "…", "ครับ "])
+def test_long_lines_take_linear_time(piece):
+    import time
+
+    began = time.time()
+    S.sentence_starts("a. " + piece * 60_000)
+    assert time.time() - began < 10
+
+
 def test_edges(spark):
     rows = [("t", 1, None, 0), ("t", 2, [None, "", " \n "], 0), ("t", 3, ["A. B. " * 20_000], 0), ("t", 3, ["A. B. " * 20_000], 0)]
     df = spark.createDataFrame(rows, "tbl string, row_id bigint, comments array<string>, start_pos int")
