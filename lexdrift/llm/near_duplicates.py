@@ -14,7 +14,12 @@
    wanted number never leaves its task. Bits agree wherever coordinates do: nothing is lost.
 4. The pairs are checked exactly on the full sets (of 32-bit hashes).
 
-Classes take out hot groups of exact copies before any pair is made.
+Hot groups. Classes take out exact copies before any pair is made. Values that a sample shows to be very
+common are counted apart, by partial sums, so no task counts one value alone. An opened posting of more than
+``CROWD`` records is not joined with itself as a whole: a record there can share with another only what is
+not its own alone, which bounds the sizes its partners may have, and it is merged only with records of those
+sizes, in blocks of at most ``BLOCK``. Records that share a common part and are otherwise different never meet.
+The bounds are proven ones: no link is lost, whatever the sample, the crowd and the blocks are.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from lexdrift.session import stage
 
 COORDS, MATCHES, EXPAND, PLANES = 64, 20, 64, 3
+CROWD, BLOCK, BAND = 256, 4096, 1.1  # largest posting joined as a whole, rows of a block, ratio of sizes of a band
+TRIED, OFTEN = 4000, 8  # records in the sample for very common values, and how many of them make a value so: at most COORDS * TRIED / OFTEN values
 WORD = re.compile(r"[^\W_]+")
 U = np.uint64
 
@@ -137,26 +144,68 @@ def classes(sets: DataFrame) -> DataFrame:
     return sets.select("row_id", "k1", "k2", "n").join(reps, ["k1", "k2", "n"]).select("row_id", "class_id").distinct()
 
 
-def class_links(sets: DataFrame, membership: DataFrame, threshold: float = 0.8, coords: int = COORDS, matches: int = MATCHES) -> DataFrame:
+def _posted(chosen: DataFrame, tried: int, often: int) -> DataFrame:
+    """``(row_id, value, posted)`` of the values that more than one record has."""
+    postings = chosen.select("row_id", F.posexplode("sig").alias("c", "v")).select("row_id", F.xxhash64("c", "v").alias("value"))
+    share = max(1, -(-chosen.count() // tried))
+    sampled = postings.where(F.expr(f"pmod(xxhash64(row_id, 5), {share}) = 0"))
+    hot = stage(sampled.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") >= often).select("value"), "hot")  # a bounded list, see OFTEN
+    counted = postings.join(F.broadcast(hot), "value", "left_semi").groupBy("value").agg(F.count("*").alias("posted"))
+    common = postings.join(F.broadcast(counted), "value")
+    rest = postings.join(F.broadcast(hot), "value", "left_anti").selectExpr("row_id", "value", "count(*) over (partition by value) as posted").where("posted > 1")
+    return rest.unionByName(common.select("row_id", "value", "posted"))
+
+
+def _crowded(opened: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Pairs of records that meet in a crowded posting and whose sizes and own parts let them be similar enough."""
+    crowd = opened.select("row_id").distinct()
+    words = sets.select("row_id", F.explode("sh").alias("h")).join(crowd, "row_id")
+    own = words.groupBy("h").agg(F.count("*").alias("times"), F.min("row_id").alias("row_id")).where("times = 1").groupBy("row_id").agg(F.count("*").alias("own"))
+    t, band = threshold, lambda n: f"cast(floor(ln(greatest({n}, 1)) / ln({BAND})) as int)"
+    sized = (
+        opened.join(own, "row_id", "left").withColumn("free", F.col("n") - F.coalesce("own", F.lit(0)))
+        .withColumn("least", F.ceil(F.col("n") * t - 1e-9)).withColumn("most", F.floor(F.least(F.col("n") / t, F.col("free") * ((1 + t) / t) - F.col("n")) + 1e-9))
+        .where("least <= most").withColumn("band", F.expr(band("n")))
+    )
+    sized = stage(sized.select("row_id", "value", "b0", "b1", "b2", "n", "free", "least", "most", "band"), "crowd")
+    seek = sized.withColumn("to", F.explode(F.expr(f"sequence({band('least')}, {band('most')})")))
+    there = sized.groupBy("value", "band").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    asked = seek.groupBy("value", "to").agg(F.ceil(F.count("*") / block).alias("asking"))
+    cut = asked.join(there, (asked["value"] == there["value"]) & (asked["to"] == there["band"])).select(asked["value"], asked["to"].alias("band"), "asking", "blocks")
+    x = seek.drop("band").withColumnRenamed("to", "band").join(cut, ["value", "band"]).selectExpr("*", "pmod(xxhash64(row_id, 7), asking) as i", "explode(sequence(0L, blocks - 1)) as j")
+    y = sized.join(cut, ["value", "band"]).selectExpr("*", "pmod(xxhash64(row_id, 8), blocks) as j", "explode(sequence(0L, asking - 1)) as i")
+    keys = ["value", "band", "i", "j"]
+    sides = [d.select(*keys, *(F.col(c).alias(side + c) for c in ("row_id", "b0", "b1", "b2", "n", "free", "least", "most"))) for side, d in (("x_", x), ("y_", y))]
+    return (
+        sides[0].join(sides[1], keys).where("x_row_id < y_row_id and y_n between x_least and x_most and x_n between y_least and y_most")
+        .where(F.least("x_free", "y_free") >= (F.col("x_n") + F.col("y_n")) * (t / (1 + t)) - 1e-9)
+    )
+
+
+def class_links(sets: DataFrame, membership: DataFrame, threshold: float = 0.8, coords: int = COORDS, matches: int = MATCHES, crowd: int = CROWD, block: int = BLOCK, tried: int = TRIED, often: int = OFTEN) -> DataFrame:
     """``(class_a, class_b, similarity)``, class_a < class_b: links between different sets, staged."""
     reps = membership.where("row_id = class_id").select("row_id")
-    chosen = sets.select("row_id", "b0", "b1", "b2", "sig").join(reps, "row_id")
-    postings = chosen.select("row_id", F.posexplode("sig").alias("c", "v")).select("row_id", F.xxhash64("c", "v").alias("value"))
-    shared = postings.selectExpr("row_id", "value", "count(*) over (partition by value) as posted").where("posted > 1")
+    chosen = sets.select("row_id", "sig").join(reps, "row_id")
     prefix = coords - matches + 1
-    # the values not in ``shared`` occur once; they are the rarest and take their places in the prefix
+    # the values that are not posted twice are the rarest and take their places in the prefix
     opened = (
-        shared.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("posted", "value"))).alias("values"))
+        _posted(chosen, tried, often).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("posted", "value"))).alias("values"))
         .withColumn("room", F.lit(prefix - coords) + F.size("values"))
         .where("room > 0")
-        .select("row_id", F.expr("transform(slice(values, 1, room), p -> p.value)").alias("values"))
-        .join(sets.select("row_id", "b0", "b1", "b2"), "row_id")
-        .select("row_id", "b0", "b1", "b2", F.explode("values").alias("value"))
+        .select("row_id", F.expr("slice(values, 1, room)").alias("values"))
+        .join(sets.select("row_id", "b0", "b1", "b2", "n"), "row_id")
+        .select("row_id", "b0", "b1", "b2", "n", F.explode("values").alias("p"))
+        .select("row_id", "b0", "b1", "b2", "n", "p.value", "p.posted")
     )
-    a, b = (opened.select("value", *(F.col(c).alias(side + c) for c in ("row_id", "b0", "b1", "b2"))) for side in ("x_", "y_"))
+    opened = stage(opened, "opened")
     agree = f"{coords} - bit_count((x_b0 ^ y_b0) | (x_b1 ^ y_b1) | (x_b2 ^ y_b2)) >= {matches}"
-    met = a.join(b, "value").where("x_row_id < y_row_id").where(agree)
-    pairs = stage(met.select(F.col("x_row_id").alias("a"), F.col("y_row_id").alias("b")).distinct(), "pairs")
+    a, b = (opened.where(F.col("posted") <= crowd).select("value", *(F.col(c).alias(side + c) for c in ("row_id", "b0", "b1", "b2"))) for side in ("x_", "y_"))
+    ids = [F.col("x_row_id").alias("a"), F.col("y_row_id").alias("b")]
+    met = a.join(b, "value").where("x_row_id < y_row_id").where(agree).select(*ids)
+    crowded = opened.where(F.col("posted") > crowd)
+    if crowded.limit(1).count():
+        met = met.union(_crowded(crowded, sets, threshold, block).where(agree).select(*ids))
+    pairs = stage(met.distinct(), "pairs")
     sides = pairs.select(F.explode(F.array("a", "b")).alias("row_id"), "a", "b")
     both = (
         sets.select("row_id", "sh").join(sides, "row_id")
@@ -168,18 +217,18 @@ def class_links(sets: DataFrame, membership: DataFrame, threshold: float = 0.8,
     return stage(both, "links")
 
 
-def near_duplicates(df: DataFrame, key: str, parts: str, width: int = 5, least_words: int = 5, threshold: float = 0.8, coords: int = COORDS, matches: int | None = None):
+def near_duplicates(df: DataFrame, key: str, parts: str, width: int = 5, least_words: int = 5, threshold: float = 0.8, coords: int = COORDS, matches: int | None = None, **hot):
     """Membership ``(row_id, class_id)`` and links ``(class_a, class_b, similarity)``.
 
     Every record of enough words has one row in the membership. Ids are unique; of a row that is
     repeated one copy counts. Links join different sets only. An empty table gives two empty tables.
-    ``matches`` is three standard deviations below what pairs at the threshold agree in.
+    ``matches`` is three standard deviations below what pairs at the threshold agree in; ``hot`` are the bounds of crowded postings.
     """
     if matches is None:
         matches = max(1, int(threshold * coords - 3 * (coords * threshold * (1 - threshold)) ** 0.5))
     sets = record_sets(df, key, parts, width, least_words, coords)
     membership = stage(classes(sets), "classes")
-    return membership, class_links(sets, membership, threshold, coords, matches)
+    return membership, class_links(sets, membership, threshold, coords, matches, **hot)
 
 
 def row_pairs(membership: DataFrame, links: DataFrame, expand: int = EXPAND) -> DataFrame:
@@ -231,3 +280,15 @@ def groups(membership: DataFrame, links: DataFrame, rounds: int = 40) -> DataFra
         .join(degree.withColumnRenamed("u", "class_id"), "class_id", "left")
         .select("row_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
     )
+
+
+def class_table(membership: DataFrame, links: DataFrame) -> DataFrame:
+    """``(row_id, class_id, copies, links)``: one row per record; ``links`` counts the other rows it is linked with, copies included.
+
+    Together with ``row_pairs`` this says everything about large classes, whose copies are not paired with one another.
+    """
+    size = membership.groupBy("class_id").agg(F.count("*").alias("copies"))
+    sides = links.select(F.explode(F.array(F.struct(F.col("class_a").alias("class_id"), F.col("class_b").alias("other")), F.struct(F.col("class_b").alias("class_id"), F.col("class_a").alias("other")))).alias("s")).select("s.*")
+    far = sides.join(size.select(F.col("class_id").alias("other"), "copies"), "other").groupBy("class_id").agg(F.sum("copies").alias("far"))
+    per = size.join(far, "class_id", "left").select("class_id", "copies", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).cast("bigint").alias("links"))
+    return membership.join(per, "class_id").select("row_id", "class_id", "copies", "links")

@@ -42,6 +42,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.row_pairs(membership, links)
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The classes of equal records behind ``p3_found``, with the number of links of every row."""
+    rows = tagged(spark, d, ["hackforums", "darkode"], "row_id", "comments")
+    return near_duplicates.class_table(*near_duplicates.near_duplicates(rows, "row_id", "comments", width=3, least_words=20, threshold=0.5))
+
+
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = tagged(spark, d, ["hackforums", "darkode"], "row_id", "comments")
     return near_duplicates.groups(*near_duplicates.near_duplicates(rows, "row_id", "comments", width=5, least_words=20, threshold=0.8))
@@ -171,7 +177,7 @@ m AS (
 SELECT * FROM m WHERE mark IS NOT NULL""",
 }
 
-_QUERIES = [p1_found, p1_masked, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_clean, p5_found, p5_sentences, p6_found, p6_counts, p7_found, p7_clean, p8_packed, p8_fill, p9_mixture, p9_shares, p9_margins, p10_found, p10_levels]
+_QUERIES = [p1_found, p1_masked, p2_found, p2_neighbours, p3_found, p3_classes, p3_groups, p4_found, p4_clean, p5_found, p5_sentences, p6_found, p6_counts, p7_found, p7_clean, p8_packed, p8_fill, p9_mixture, p9_shares, p9_margins, p10_found, p10_levels]
 
 
 def queries() -> dict:

@@ -1,5 +1,8 @@
 import random
 import re
+from collections import Counter
+
+import pytest
 
 from lexdrift.llm import near_duplicates as N
 
@@ -48,6 +51,31 @@ def test_pairs_against_brute_force(spark):
     assert len(got) >= 0.99 * len(true)
 
 
+@pytest.mark.parametrize("hot", [{"crowd": 1, "block": 1000}, {"crowd": 1, "block": 2}, {"crowd": 2, "often": 2, "tried": 50}])
+def test_crowded_postings_lose_nothing(spark, hot):
+    rows = _rows()
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows += [(1000 + i, [shared + " " + " ".join(f"o{i}x{j}" for j in range(i))]) for i in range(60)]
+    m, links = N.near_duplicates(_frame(spark, rows), "row_id", "comments", width=3, least_words=20, threshold=0.5, **hot)
+    got = {tuple(r) for r in N.row_pairs(m, links).collect()}
+    true = _brute(rows, 3, 20, 0.5)
+    plain = {tuple(r) for r in N.row_pairs(*N.near_duplicates(_frame(spark, rows), "row_id", "comments", width=3, least_words=20, threshold=0.5)).collect()}
+    assert got == plain <= true and len(got) >= 0.99 * len(true)
+    degree = Counter(x for p in got for x in p)
+    assert {r.row_id: r.links for r in N.class_table(m, links).collect()} == {i: degree[i] for i in _sets(rows, 3, 20)}
+
+
+def test_records_of_a_common_part_never_meet(spark, monkeypatch):
+    """A part that all records share, and own words beside it that keep them under the threshold: few pairs are made, none of them in the crowd."""
+    shared = " ".join(f"s{i}" for i in range(115))
+    rows = [(i, [shared + " " + " ".join(f"o{i}x{j}" for j in range(85))]) for i in range(600)]
+    made = {}
+    staged = N.stage
+    monkeypatch.setattr(N, "stage", lambda df, name: made.setdefault(name, staged(df, name)))
+    m, links = N.near_duplicates(_frame(spark, rows), "row_id", "comments", width=3, least_words=20, threshold=0.5, crowd=64)
+    assert links.count() == 0 and made["pairs"].count() <= 600 * 64 // 2 and m.count() == 600
+
+
 def test_groups_are_components(spark):
     rows = _rows()
     m, links = N.near_duplicates(_frame(spark, rows), "row_id", "comments", width=3, least_words=20, threshold=0.5)
