@@ -50,13 +50,33 @@ def test_many_equal_vectors_take_the_lowest_numbers(spark):
     assert all(len(near[i]) == 5 for i in range(400))
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
+def test_blocks_give_the_same(spark):
     rng = np.random.default_rng(1)
     rows = [("m", i, rng.normal(size=4).tolist(), 0, "") for i in range(300)]
     one = {tuple(r) for r in S.similar_pairs(_table(spark, rows), 5, 0.85, dim=4).collect()}
-    monkeypatch.setattr(S, "QUERY_BLOCK", 50)
-    monkeypatch.setattr(S, "INDEX_BLOCK", 40)
-    assert {tuple(r) for r in S.similar_pairs(_table(spark, rows), 5, 0.85, dim=4).collect()} == one
+    assert {tuple(r) for r in S.similar_pairs(_table(spark, rows), 5, 0.85, dim=4, query_block=30, index_block=20).collect()} == one
+
+
+def test_trees_of_regions(spark):
+    """More parts than a region may have: the first cut is made into regions, and the pairs are still found."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(300, 16))
+    x = np.concatenate([c + 0.15 * rng.normal(size=(10, 16)) for c in centres]).astype(np.float32)
+    rows = [("m", i, v.tolist(), 0, "") for i, v in enumerate(x)] + [("tiny", i, v.tolist(), 0, "") for i, v in enumerate(x[:3])]
+    table = _table(spark, rows)
+    trees = S.fit_trees(table.where("model is not null").select("model", "idx", "vector"), 16, sample=800, part_rows=60, leaves=8)
+    assert len(trees["m"].regions) >= 6 and trees["m"].parts >= 40 and trees["tiny"].parts == 1
+    assert max(np.bincount(trees["m"].top(S.unit_rows(x), 1)[:, 0], minlength=trees["m"].parts)) < 600
+    got = {(r.idx_a, r.idx_b) for r in S.similar_pairs(table.where("model = 'm'"), 5, 0.85, dim=16, sample=800, part_rows=60, leaves=8).collect()}
+    true = _brute(x.astype(float), list(range(len(x))), 5, 0.85)
+    assert len(got & true) / len(true) >= 0.95 and len(got - true) <= 0.03 * len(true)
+
+
+def test_samples_do_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(4)
+    table = _table(spark, [("m", i, rng.normal(size=8).tolist(), 0, "") for i in range(1500)]).select("model", "idx", "vector")
+    a, b = (S.fit_trees(t, 8, sample=1000, part_rows=100)["m"] for t in (table.repartition(3), table.orderBy("idx").coalesce(1)))
+    assert a.parts == b.parts > 1 and all(np.allclose(a.regions[r].w, b.regions[r].w) for r in a.regions)
 
 
 def test_probes_grow_until_the_recall_holds(spark):
