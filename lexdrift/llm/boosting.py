@@ -21,8 +21,8 @@ class BoostedTrees:
             out[:, j] = np.searchsorted(e, x[:, j], side="left")
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "BoostedTrees":
-        self.edges = []
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> "BoostedTrees":
+        self.edges, w = [], np.ones(len(x)) if weight is None else weight
         for j in range(x.shape[1]):
             v = np.unique(x[:, j])
             self.edges.append((v[:-1] + v[1:]) / 2 if len(v) <= self.bins else np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])))
@@ -36,7 +36,7 @@ class BoostedTrees:
             trees = []
             for c in range(self.classes):
                 seen = np.sort(rng.choice(d, max(1, round(self.columns * d)), replace=False))
-                tree, at = self._tree(b, seen, p[:, c] - hot[:, c], np.maximum(p[:, c] * (1 - p[:, c]), 1e-6))
+                tree, at = self._tree(b, seen, w * (p[:, c] - hot[:, c]), w * np.maximum(p[:, c] * (1 - p[:, c]), 1e-6))
                 score[:, c] += tree[2][at]
                 trees.append(tree)
             self.trees.append(trees)
@@ -48,14 +48,12 @@ class BoostedTrees:
         feature, limit = np.zeros(inner, np.int64), np.full(inner, 255, np.uint8)
         at = np.zeros(len(b), np.int64)
         d, bins = len(seen), self.bins + 1
+        cell = b[:, seen] + np.arange(d) * bins
         for level in range(self.depth):
             first, width = 2**level - 1, 2**level
             here = at - first
-            gh = np.zeros((2, width, d, bins))
-            for j in range(d):
-                key = here * bins + b[:, seen[j]]
-                gh[0, :, j] = np.bincount(key, g, width * bins).reshape(width, bins)
-                gh[1, :, j] = np.bincount(key, h, width * bins).reshape(width, bins)
+            key = (here[:, None] * (d * bins) + cell).ravel()
+            gh = np.stack([np.bincount(key, np.repeat(v, d), width * d * bins).reshape(width, d, bins) for v in (g, h)])
             left = gh.cumsum(3)
             total = left[..., -1:]
             gain = left[0] ** 2 / (left[1] + self.ridge) + (total[0] - left[0]) ** 2 / (total[1] - left[1] + self.ridge) - total[0] ** 2 / (total[1] + self.ridge)
@@ -81,3 +79,8 @@ class BoostedTrees:
                     at = 2 * at + 1 + (b[rows, feature[at]] > limit[at])
                 out[:, c] += value[at - inner]
         return out
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        s = self.scores(x)
+        p = np.exp(s - s.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)

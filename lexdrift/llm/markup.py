@@ -6,16 +6,27 @@ features of itself, its subtree, its siblings and the whole comment, and boosted
 The decoder goes from the root down: what is chosen code or formula takes its whole subtree, so that
 no descendant contradicts an ancestor, and a heading or list item takes its line.
 
-The trees are fitted on a bounded sample of comments. Labels come from nodes whose syntax leaves no doubt
-and from the flattened text beside the markup (what is dropped there is code or formula); nodes that could
-be either - a line with ``#`` is a heading in one markup language and a list item in another - are
-left out of the fit and decided by the model.
+The trees are fitted on a bounded sample of comments without labels, by co-training on two views of a node:
+
+* What the flattened text beside the markup shows: a region that is dropped there is code or a formula, a mark
+  that is dropped stood for structure, what stays as it is is neither. This leaves a set of kinds for every node.
+* A line whose letters also stand as an ordinary line elsewhere in the sample is an ordinary line.
+* The names that the elements of HTML bear (h1 to h6, li, pre, math, p) choose the kind within the set. Trees on the
+  *content view* (text, subtree, siblings, depth; no tag, mark or attribute) carry it over to nodes of all other
+  forms, node by node and on average over each form: a short line alone among paragraphs is a heading and a
+  run of short lines a list, whatever mark they bear.
+* Trees on all features, with tags, marks and hashed attribute tokens, are then fitted on these kinds.
+
+No rule says what a mark of Markdown, wiki or LaTeX means.
 """
 
 from __future__ import annotations
 
 import html
+import pickle
 import re
+import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +37,11 @@ from lexdrift.llm.boosting import BoostedTrees
 
 KINDS = ["other", "heading", "list_item", "code", "formula"]
 OTHER, HEADING, ITEM, CODE, FORMULA = range(5)
-SAMPLE_ROWS = 3000  # rows from which the model is fitted, at most
-NODES_AT_MOST = 60_000
-FORM_ROWS, RARE_TIMES = 2000, 50  # a rare form of a node is repeated to about so many rows, at most so many times
+SAMPLE_ROWS = 2000  # rows from which the model is fitted, at most, the first by a hash
+FORM_ROWS, FORM_WEIGHT, RARE_TIMES = 1200, 2000, 20  # nodes of one form used in the fit, what they count together, and one of them at most
+
+FORM_POWER, LEAST = 12, 0.05  # the weight of a form's average against the node itself, and the least that a node says of any kind
+DROPPED_MARK = 0.05  # how often, before the content is looked at, a mark that the flattened text drops stands for no structure
 
 # Regions whose content is not read further. The leftmost wins, so markup inside code stays code.
 _REGION = re.compile(
@@ -68,21 +81,25 @@ def _signs(raw: str) -> list[int]:
 
 
 
-FEATURES = (
-    "tag mark depth children siblings same_before same_after position chars words symbols math codey density digits stop_end blank_before blank_after underlined "
-    "closed html md wiki latex attr_math attr_code lines upper colon_pairs has_item_near run currency own_start own_end math_box code_box"
-).split()
+ATTR_BUCKETS = 16  # columns that the tokens of attributes are hashed to
+CONTENT = (
+    "depth children siblings same_before same_after position chars words symbols math codey density digits stop_end blank_before blank_after lines upper colon_pairs run currency "
+    "sub_chars sub_nodes sub_depth sub_density mean_sibling".split()
+)
+SHAPE = "same_before same_after chars words symbols math codey digits stop_end lines upper colon_pairs currency".split()  # the content view
+FORM = "under closed html md wiki latex has_item_near own_start own_end".split() + [f"attr{i}" for i in range(ATTR_BUCKETS)]
+FEATURES = ["tag", "mark", *CONTENT, *FORM]
 _FLOW = {"line", "p", "div", "blockquote", "ul", "td"}
-_MATH_BOX, _CODE_BOX = {"math", "span", "display", "env_math"}, {"pre", "source", "syntaxhighlight", "listing", "fence", "env_code"}
 TAGS = {t: i for i, t in enumerate("line h li pre source syntaxhighlight math fence env_code env_math span display inline indent code p div blockquote ul td listing".split())}
+_ATTR_TOKEN = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "mark", "attr", "text", "start", "end", "depth", "children", "parent", "closed", "under", "blank", "run")
+    __slots__ = ("tag", "mark", "attr", "text", "start", "end", "depth", "children", "parent", "closed", "under", "blank", "run", "under_text", "sub")
 
     def __init__(self, tag, text, start, end, depth=0, mark="", attr="", parent=-1, closed=True):
         self.tag, self.text, self.start, self.end, self.depth, self.mark, self.attr, self.parent, self.closed = tag, text, start, end, depth, mark, attr, parent, closed
-        self.children, self.under, self.blank, self.run = 0, 0, [0, 0], 0
+        self.children, self.under, self.blank, self.run, self.under_text, self.sub = 0, 0, [0, 0], 0, "", (0, 0, 0)
 
 
 def _mark_name(mark: str) -> str:
@@ -108,7 +125,7 @@ def parse(raw: str) -> list[Node]:
     nodes: list[Node] = []
     stack: list[tuple[str, int]] = []
     at = 0
-    regions = list(_REGION.finditer(raw)) if _OPENING.search(raw) else []
+    regions = _regions(raw)
     if "\n\n    " in raw or "\n\n\t" in raw or raw[:4] == "    " or raw[:1] == "\t":
         regions = sorted([*regions, *_INDENT.finditer(raw)], key=lambda m: m.start())
     for m in [*regions, None]:
@@ -135,10 +152,50 @@ def parse(raw: str) -> list[Node]:
             nodes[parent].children += 1
         nodes.append(Node(tag, m.group(), m.start(), m.end(), len(stack) + 1, "", attr, parent))
         at = m.end()
+    for _, n in stack:  # never closed
+        nodes[n].end, nodes[n].closed = len(raw), False
     _neighbours(raw, nodes)
     return nodes
 
 
+def _regions(raw: str) -> list[re.Match]:
+    """Regions from left to right. An opening whose closing is nowhere behind it is not tried again, so the time is linear."""
+    out, at, never = [], 0, set()
+    for o in _OPENING.finditer(raw):
+        if o.start() < at:
+            continue
+        close = _closing(raw, o)
+        if close is not None:
+            if close.pattern in never:
+                continue
+            if not close.search(raw, o.end()):
+                never.add(close.pattern)
+                continue
+        if m := _REGION.match(raw, o.start()):
+            out.append(m)
+            at = max(m.end(), o.start() + 1)
+    return out
+
+
+@lru_cache(maxsize=1000)
+def _pattern(p: str) -> re.Pattern:
+    return re.compile(p, re.M | re.I)
+
+
+def _closing(raw: str, o: re.Match) -> re.Pattern | None:
+    """What must follow an opening for it to be a region; None where the search for it is bounded anyway."""
+    t = o.group().lower()
+    if t == "\\begin":
+        name = re.compile(r"\{(\w+\*?)\}").match(raw, o.end())
+        return _pattern(r"\\end\{" + re.escape(name.group(1)) + r"\}") if name else None
+    if t[0] in "`~":
+        bar = re.compile(r"[`~]+").match(raw, o.start()).group()
+        return _pattern(rf"^ {{0,3}}{re.escape(bar)}[`~]*[ \t]*$")
+    if t == "$" and raw[o.end() : o.end() + 1] == "$":
+        return _pattern(r"\$\$")
+    return {"\\[": _pattern(r"\\\]"), "\\(": _pattern(r"\\\)"), "<span": _pattern("</span")}.get(t)
+
+
 def _flow(raw: str, start: int, end: int, nodes: list[Node], stack: list[tuple[str, int]]) -> None:
     """Elements and lines of the text between two regions."""
     at = start
@@ -178,6 +235,7 @@ def _lines(raw: str, start: int, end: int, nodes: list[Node], stack: list[tuple[
         if text or m and m.group("mark"):
             if begins and nodes and (u := _UNDER.match(raw, at, stop)) and nodes[-1].tag == "line" and nodes[-1].end == at - 1 and not nodes[-1].mark:
                 nodes[-1].under = 1 if u.group(1)[0] == "=" else 2
+                nodes[-1].under_text = u.group(1)
                 nodes[-1].end = stop
             else:
                 parent = stack[-1][1] if stack else -1
@@ -193,14 +251,25 @@ def _neighbours(raw: str, nodes: list[Node]) -> None:
     for n in nodes:
         n.blank[0] = int(n.start == 0 or raw[max(0, n.start - 2) : n.start] == "\n\n")
         n.blank[1] = int(n.end >= len(raw) or raw[n.end : n.end + 2] == "\n\n")
-    run = 0
+    joined = [bool(i and n.mark and nodes[i - 1].mark and n.mark.strip("#*") == nodes[i - 1].mark.strip("#*") and n.mark[0] == nodes[i - 1].mark[0] and n.start - nodes[i - 1].end <= 1) for i, n in enumerate(nodes)]
     for i, n in enumerate(nodes):
-        same = i and n.mark and nodes[i - 1].mark and n.mark.strip("#*") == nodes[i - 1].mark.strip("#*") and n.mark[0] == nodes[i - 1].mark[0] and n.start - nodes[i - 1].end <= 1
-        run = run + 1 if same else 1
-        n.run = run
+        n.run = nodes[i - 1].run + 1 if joined[i] else 1
     for i in range(len(nodes) - 2, -1, -1):
-        if nodes[i + 1].run > nodes[i].run and nodes[i + 1].run > 1:
+        if joined[i + 1]:
             nodes[i].run = nodes[i + 1].run  # length of the whole run
+    for i in range(len(nodes) - 1, -1, -1):  # characters, nodes and levels below each node; parents come first
+        n = nodes[i]
+        chars, below, deep = n.sub
+        if not n.children:
+            chars += len(n.text)
+        n.sub = (chars, below, deep)
+        if n.parent >= 0:
+            c, b, d = nodes[n.parent].sub
+            nodes[n.parent].sub = (c + chars, b + below + 1, max(d, deep + 1))
+
+
+def _same(a: Node, b: Node) -> bool:
+    return (a.tag, a.mark, a.under) == (b.tag, b.mark, b.under)
 
 
 def features(raw: str, nodes: list[Node]) -> list[list[float]]:
@@ -211,95 +280,128 @@ def features(raw: str, nodes: list[Node]) -> list[list[float]]:
         siblings.setdefault(n.parent, []).append(i)
     rows = []
     place = {i: k for ids in siblings.values() for k, i in enumerate(ids)}
+    mean = {p: sum(nodes[i].sub[0] for i in ids) / len(ids) for p, ids in siblings.items()}
     for i, n in enumerate(nodes):
-        t, own = n.text, siblings[n.parent]
+        t, own = n.text.strip("{}#= ") if n.mark else n.text, siblings[n.parent]
         k = place[i]
         size = max(1, len(t))
         whole = max(1, n.end - n.start)
         words = t.count(" ") + 1
         read = n.mark or n.tag not in _FLOW  # signs of code and formulas count where they can decide
+        attr = [0.0] * ATTR_BUCKETS
+        if n.attr and n.tag != "line":
+            for token in _ATTR_TOKEN.findall(n.attr.lower()):
+                attr[zlib.crc32(token.encode()) % ATTR_BUCKETS] = 1.0
         rows.append([
             TAGS[n.tag], MARKS.get(n.mark, 0), n.depth, n.children, len(own),
-            float(k > 0 and (nodes[own[k - 1]].tag, nodes[own[k - 1]].mark) == (n.tag, n.mark)),
-            float(k + 1 < len(own) and (nodes[own[k + 1]].tag, nodes[own[k + 1]].mark) == (n.tag, n.mark)),
+            float(k > 0 and _same(nodes[own[k - 1]], n)),
+            float(k + 1 < len(own) and _same(nodes[own[k + 1]], n)),
             k / len(own), len(t), words, len(_NOT_ALNUM.sub("", t)) / size if read else 0.0,
             len(_MATH.findall(t)) if read else 0, len(_CODEY.findall(t)) if read else 0, len(t) / whole, len(_DIGIT.findall(t)) / size if read else 0.0,
-            float(t[-1:] in ".!?。！？।؟…"), n.blank[0], n.blank[1], n.under, float(n.closed),
-            *(min(s, 9) for s in signs), float("tex" in n.attr or "display" in n.attr), float("code" in n.attr or "lang" in n.attr or "bb" in n.attr),
-            t.count("\n") + 1, float(t[:1].isupper()), t.count(": "), min(items, 9), min(n.run, 9), float(t[:1] == "$" and t[1:2].isdigit()),
-            float(n.start == 0 or raw[n.start - 1] in "\n>"), float(n.end == len(raw) or raw[n.end] in "\n<"),
-            float(n.tag in _MATH_BOX), float(n.tag in _CODE_BOX),
+            float(t[-1:] in ".!?。！？।؟…"), n.blank[0], n.blank[1], t.count("\n") + 1, float(t[:1].isupper()), t.count(": "), min(n.run, 9), float(t[:1] == "$" and t[1:2].isdigit()),
+            n.sub[0], n.sub[1], n.sub[2], n.sub[0] / whole, mean[n.parent],
+            n.under, float(n.closed), *(min(s, 9) for s in signs), min(items, 9),
+            float(n.start == 0 or raw[n.start - 1] in "\n>"), float(n.end == len(raw) or raw[n.end] in "\n<"), *attr,
         ])
     return rows
 
 
 def design(rows: list[list[float]]) -> np.ndarray:
-    """Feature matrix with the two categorical features, tag and mark, spread over columns of their own."""
+    """Feature matrix with the two categorical features, tag and mark, spread over columns of their own after the others."""
     x = np.array(rows, float).reshape(-1, len(FEATURES))
     tags, marks = np.eye(len(TAGS))[x[:, 0].astype(int)], np.eye(len(MARKS) + 1)[x[:, 1].astype(int)]
-    return np.concatenate([tags, marks, x[:, 2:]], axis=1)
-
-
-def seed_label(n: Node, raw: str, flat: str | None) -> int | None:
-    """The kind of a node that leaves no doubt; None where the model must decide."""
-    dropped = flat is not None and n.tag not in ("line", "h", "li", "p", "div", "blockquote", "ul", "td") and _squeeze(n.text) not in _squeeze(flat)
-    if n.tag == "h":
-        return HEADING
-    if n.tag == "li":
-        return ITEM
-    if n.tag in ("pre", "source", "syntaxhighlight", "listing", "fence", "env_code"):
-        return CODE if dropped or flat is None else None
-    if n.tag in ("math", "span", "display", "env_math"):
-        return FORMULA if dropped or flat is None else None
-    if n.tag == "code":
-        own = (n.start == 0 or raw[n.start - 1] in "\n>") and (n.end == len(raw) or raw[n.end] in "\n<")
-        return CODE if dropped and own else OTHER if not dropped and not own else None
-    if n.tag == "indent":
-        return CODE if dropped else None
-    if n.tag == "inline":
-        return FORMULA if dropped and len(_MATH.findall(n.text)) else OTHER
-    if n.tag == "line":
-        if n.under:
-            return HEADING if flat is not None and (n.text + "\n" + "-") not in flat else None
-        if n.mark in ("==", "section", "##"):
-            return HEADING
-        if n.mark in ("item", "+", "•", "**"):
-            return ITEM
-        if n.mark in ("*", "-", "1") and n.run > 1:
-            return ITEM
-        if n.mark == "#":
-            _, md, wiki, _ = _signs(raw)
-            if n.run > 1 and wiki >= md:
-                return ITEM
-            return HEADING if n.run == 1 and md > 0 and wiki == 0 else None
-        return OTHER if not n.mark or n.mark == ">" else None
-    return OTHER
+    return np.concatenate([x[:, 2:], tags, marks], axis=1)
+
+
+# Kinds that bear their name in HTML.
+NAMED = {"h": HEADING, "li": ITEM, "pre": CODE, "math": FORMULA, "p": OTHER, "div": OTHER, "blockquote": OTHER, "ul": OTHER, "td": OTHER}
+
+
+class Flat:
+    """The flattened text beside a comment, prepared for questions about what was dropped."""
+
+    def __init__(self, text: str) -> None:
+        self.all, self.lines = _squeeze(text), {_squeeze(x) for x in text.split("\n")}
+
+    def allowed(self, n: Node, raw: str) -> tuple[int, ...]:
+        """The kinds that the flattened text leaves for a node; empty where it says nothing."""
+        if n.tag in ("line", *_FLOW, "h", "li"):
+            if n.tag != "line":
+                return ()
+            bare = _squeeze(_plain(n.text.strip("{}#= ") if n.mark else n.text, True))
+            if n.under:
+                return (HEADING, ITEM, OTHER) if bare in self.lines and n.under_text not in self.lines else ()
+            if n.mark and bare in self.lines:
+                return HEADING, ITEM, OTHER
+            return (OTHER,) if bare in self.lines or _squeeze(raw[n.start : n.end]) in self.all else ()
+        body = _squeeze(html.unescape(_MATH_SHELL.sub("", _CODE_SHELL.sub("", n.text))))
+        kept = _squeeze(n.text) in self.all or n.tag not in ("inline", "display") and body in self.all
+        return (OTHER,) if kept else (CODE, FORMULA)
 
 
 def _squeeze(t: str) -> str:
     return "".join(t.split())
 
 
+def _form(n: Node) -> tuple:
+    return n.tag, n.mark, n.under, min(n.run, 2)
+
+
+def _letters(t: str) -> str:
+    return "".join(filter(str.isalpha, t)).lower()
+
+
+def _co_trained(x: np.ndarray, sets: list[tuple], weight: np.ndarray, forms: dict[tuple, list[int]], ordinary: np.ndarray) -> np.ndarray:
+    """A kind for every node out of its set: sure ones as they are, others by trees on the content view and the average of their form."""
+    view = [CONTENT.index(c) for c in SHAPE]
+    sure = np.array([len(s) == 1 for s in sets])
+    y = np.array([s[0] for s in sets])
+    if sure.all() or not sure.any():
+        return y
+    share = np.bincount(y[sure], weight[sure], len(KINDS))
+    even = (share.sum() / len(KINDS) / np.maximum(share, 1e-9))[y[sure]]
+    first = BoostedTrees(len(KINDS), rounds=20).fit(x[sure][:, view], y[sure], weight[sure] * even)
+    left = np.flatnonzero(~sure)
+    p = first.probabilities(x[left][:, view]) + 1e-6
+    mask = np.zeros_like(p)
+    for i, at in enumerate(left):
+        mask[i, list(sets[at])] = 1
+    mask[:, OTHER] *= np.where(ordinary[left], 1e6, DROPPED_MARK)
+    p = p * mask / (p * mask).sum(1, keepdims=True)
+    where = {at: i for i, at in enumerate(left)}
+    for rows in forms.values():
+        mine = [where[r] for r in rows if r in where]
+        if mine:
+            p[mine] = np.maximum(p[mine], LEAST) * (mask[mine] > 0) * p[mine].mean(0) ** FORM_POWER
+    y[left] = p.argmax(1)
+    return y
+
+
 def fit(comments: list[tuple[str, str | None]]) -> BoostedTrees:
-    """Boosted trees from pairs of marked-up and flattened text."""
-    x, y = [], []
-    forms: dict[tuple, list[int]] = {}
+    """Boosted trees from pairs of marked-up and flattened text; see the head of the module."""
+    x, sets, said, forms, plain = [], [], [], {}, set()
     for raw, flat in comments:
-        nodes = parse(raw)
+        nodes, seen = parse(raw), Flat(flat) if flat is not None else None
         for n, row in zip(nodes, features(raw, nodes)):
-            label = seed_label(n, raw, flat)
-            if label is not None:
-                forms.setdefault((n.tag, n.mark, n.under, label), []).append(len(x))
+            left = seen.allowed(n, raw) if seen else ()
+            if n.tag in NAMED and (not left or NAMED[n.tag] in left):
+                left = (NAMED[n.tag],)
+            if left == (OTHER,):
+                plain.add(_letters(n.text))
+            rows = forms.setdefault((*_form(n), left), []) if left else None
+            if rows is not None and len(rows) < FORM_ROWS:
+                rows.append(len(x))
                 x.append(row)
-                y.append(label)
-        if len(x) > NODES_AT_MOST:
-            break
+                sets.append(left)
+                said.append(_letters(n.text))
     if not x:
-        x, y = [[0.0] * len(FEATURES)], [OTHER]
-    at = list(range(len(x)))
+        return BoostedTrees(len(KINDS)).fit(design([[0.0] * len(FEATURES)]), np.array([OTHER]))
+    full = design(x)
+    weight = np.empty(len(x))
     for rows in forms.values():  # rare forms count as if there were more of them
-        at += rows * max(0, min(RARE_TIMES, FORM_ROWS // len(rows)) - 1)
-    return BoostedTrees(len(KINDS)).fit(design([x[i] for i in at]), np.array([y[i] for i in at]))
+        weight[rows] = min(RARE_TIMES, FORM_WEIGHT / len(rows))
+    y = _co_trained(full, sets, weight, forms, np.array([t in plain for t in said]))
+    return BoostedTrees(len(KINDS), columns=0.9).fit(full, y, weight)
 
 
 def decode(nodes: list[Node], scores: np.ndarray) -> list[int]:
@@ -340,6 +442,9 @@ _CODE_SHELL = re.compile(r"\A(?:<[^<>]*>\s*?)+|(?:\s*?</[^<>]*>)+\Z|\A\s*(?:```|
 _MATH_SHELL = re.compile(r"\A(?:<[^<>]*>\s*)+|(?:\s*</[^<>]*>)+\Z|\A\\begin\{[^{}]*\}|\\end\{[^{}]*\}\Z")
 
 
+_CONTAINERS = {"h", "li", "p", "div", "blockquote", "ul", "td"}
+
+
 def render(raw: str, nodes: list[Node], kinds: list[int]) -> str:
     """Clean text: headings as ``# ``, list items as ``- ``, code between fences, formulas between dollar signs."""
     latex = _signs(raw)[3] > 0
@@ -363,8 +468,9 @@ def render(raw: str, nodes: list[Node], kinds: list[int]) -> str:
             skip = n.end
         elif n.tag in ("h", "li") and k in (HEADING, ITEM):
             pending = "# " if k == HEADING else "- "
-        elif n.tag in ("line", "inline", "indent", "fence", "pre", "source"):
-            text = _plain(_BREAK.sub("\n", n.text), latex)
+        elif n.tag not in _CONTAINERS:  # lines, and regions that are neither code nor formula: their text stays
+            text = n.text if n.tag in ("line", "inline", "display") else _MATH_SHELL.sub("", _CODE_SHELL.sub("", n.text))
+            text = _plain(_BREAK.sub("\n", text), latex)
             if k == HEADING:
                 text = re.sub(r"\A\{([^{}]*)\}", r"\1", text).rstrip("#= ") if n.mark else text
             if not text:
@@ -376,22 +482,24 @@ def render(raw: str, nodes: list[Node], kinds: list[int]) -> str:
             else:
                 out += [sign + text if i == 0 else text for i, text in enumerate(t.strip() for t in text.split("\n") if t.strip())]
             pending = ""
-        last_end = n.end if n.tag in ("line", "inline", "span", "math") else last_end
+        last_end = n.end if n.tag not in _CONTAINERS else last_end
     return "\n".join(out)
 
 
 def model(df: DataFrame, raw: str = "raw_comments", flat: str = "comments", sample_rows: int = SAMPLE_ROWS) -> BoostedTrees:
-    """Fit on at most ``sample_rows`` rows, chosen by a hash of their ids over the whole table."""
-    total = max(1, df.count())
-    share = max(1, total // sample_rows)
-    rows = df.where(F.expr(f"pmod(xxhash64(tbl, row_id), {share}) = 0")).select(F.col(raw).alias("raw"), F.col(flat).alias("flat")).limit(sample_rows).collect()
-    pairs = []
-    for r in rows:
-        flats = r["flat"] or []
-        for i, c in enumerate(r["raw"] or []):
-            if c:
-                pairs.append((c, flats[i] if i < len(flats) else None))
-    return fit(pairs)
+    """Fitted in a task on at most ``sample_rows`` rows, the first by a hash of their ids over the whole table."""
+
+    def run(batches):
+        pairs = []
+        for b in batches:
+            for raws, flats in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                flats = flats or []
+                pairs += [(c, flats[i] if i < len(flats) else None) for i, c in enumerate(raws or ()) if c]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pairs))], pa.binary())], names=["model"])
+
+    drawn = df.select(F.col(raw).alias("raw"), F.col(flat).alias("flat"), F.xxhash64("tbl", "row_id").alias("h"), "tbl", "row_id").orderBy("h", "tbl", "row_id").limit(sample_rows)
+    fitted = drawn.select("raw", "flat").coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(fitted[0]) if fitted else fit([])
 
 
 def _kinds_of(trees: BoostedTrees, comments: list[str]) -> tuple[list[list[Node]], list[list[int]]]:

@@ -20,5 +20,5 @@ def test_many_single_dollars_take_little_time():
 def test_the_whole_text_of_a_node_is_compared():
     raw = "so $\\alpha = " + "same words " * 8 + "one$ holds"
     node = next(n for n in M.parse(raw) if n.tag == "inline")
-    assert M.seed_label(node, raw, raw) == M.OTHER
-    assert M.seed_label(node, raw, raw.replace("one", "two")) == M.FORMULA
+    assert M.Flat(raw).allowed(node, raw) == (M.OTHER,)
+    assert M.Flat(raw.replace("one", "two")).allowed(node, raw) == (M.CODE, M.FORMULA)
