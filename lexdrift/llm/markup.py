@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexdrift.llm.boosting import BoostedTrees
+from lexdrift.llm.common import first_by_hash
 
 KINDS = ["other", "heading", "list_item", "code", "formula"]
 OTHER, HEADING, ITEM, CODE, FORMULA = range(5)
@@ -86,8 +87,9 @@ CONTENT = (
     "depth children siblings same_before same_after position chars words symbols math codey density digits stop_end blank_before blank_after lines upper colon_pairs run currency "
     "sub_chars sub_nodes sub_depth sub_density mean_sibling".split()
 )
-SHAPE = "same_before same_after chars words symbols math codey digits stop_end lines upper colon_pairs currency".split()  # the content view
-FORM = "under closed html md wiki latex has_item_near own_start own_end".split() + [f"attr{i}" for i in range(ATTR_BUCKETS)]
+# the content view: of lines, which may be structure, and of regions, which may be code or formulas
+LINE_VIEW, REGION_VIEW = "same_before same_after chars words stop_end lines upper colon_pairs".split(), "chars words symbols math codey digits stop_end lines upper".split()
+FORM = "region under closed html md wiki latex has_item_near own_start own_end".split() + [f"attr{i}" for i in range(ATTR_BUCKETS)]
 FEATURES = ["tag", "mark", *CONTENT, *FORM]
 _FLOW = {"line", "p", "div", "blockquote", "ul", "td"}
 TAGS = {t: i for i, t in enumerate("line h li pre source syntaxhighlight math fence env_code env_math span display inline indent code p div blockquote ul td listing".split())}
@@ -300,7 +302,7 @@ def features(raw: str, nodes: list[Node]) -> list[list[float]]:
             len(_MATH.findall(t)) if read else 0, len(_CODEY.findall(t)) if read else 0, len(t) / whole, len(_DIGIT.findall(t)) / size if read else 0.0,
             float(t[-1:] in ".!?。！？।؟…"), n.blank[0], n.blank[1], t.count("\n") + 1, float(t[:1].isupper()), t.count(": "), min(n.run, 9), float(t[:1] == "$" and t[1:2].isdigit()),
             n.sub[0], n.sub[1], n.sub[2], n.sub[0] / whole, mean[n.parent],
-            n.under, float(n.closed), *(min(s, 9) for s in signs), min(items, 9),
+            float(n.tag not in _FLOW and n.tag not in ("h", "li")), n.under, float(n.closed), *(min(s, 9) for s in signs), min(items, 9),
             float(n.start == 0 or raw[n.start - 1] in "\n>"), float(n.end == len(raw) or raw[n.end] in "\n<"), *attr,
         ])
     return rows
@@ -353,31 +355,53 @@ def _letters(t: str) -> str:
 
 def _co_trained(x: np.ndarray, sets: list[tuple], weight: np.ndarray, forms: dict[tuple, list[int]], ordinary: np.ndarray) -> np.ndarray:
     """A kind for every node out of its set: sure ones as they are, others by trees on the content view and the average of their form."""
-    view = [CONTENT.index(c) for c in SHAPE]
-    sure = np.array([len(s) == 1 for s in sets])
     y = np.array([s[0] for s in sets])
-    if sure.all() or not sure.any():
-        return y
-    share = np.bincount(y[sure], weight[sure], len(KINDS))
-    even = (share.sum() / len(KINDS) / np.maximum(share, 1e-9))[y[sure]]
-    first = BoostedTrees(len(KINDS), rounds=20).fit(x[sure][:, view], y[sure], weight[sure] * even)
-    left = np.flatnonzero(~sure)
-    p = first.probabilities(x[left][:, view]) + 1e-6
-    mask = np.zeros_like(p)
-    for i, at in enumerate(left):
-        mask[i, list(sets[at])] = 1
-    mask[:, OTHER] *= np.where(ordinary[left], 1e6, DROPPED_MARK)
-    p = p * mask / (p * mask).sum(1, keepdims=True)
-    where = {at: i for i, at in enumerate(left)}
-    for rows in forms.values():
-        mine = [where[r] for r in rows if r in where]
-        if mine:
-            p[mine] = np.maximum(p[mine], LEAST) * (mask[mine] > 0) * p[mine].mean(0) ** FORM_POWER
-    y[left] = p.argmax(1)
+    size = np.array([len(s) for s in sets])
+    for kinds, names in (((HEADING, ITEM, OTHER), LINE_VIEW), ((CODE, FORMULA), REGION_VIEW)):
+        view = [CONTENT.index(c) for c in names]
+        sure, left = np.flatnonzero((size == 1) & np.isin(y, kinds)), np.flatnonzero((size > 1) & np.isin(y, kinds))
+        share = np.bincount(y[sure], weight[sure], len(KINDS))
+        if not len(left) or (share[list(kinds)] == 0).any():
+            continue
+        even = (share.sum() / len(kinds) / np.maximum(share, 1e-9))[y[sure]]
+        first = BoostedTrees(len(KINDS), rounds=20).fit(x[sure][:, view], y[sure], weight[sure] * even)
+        p = (first.probabilities(x[left][:, view]) + 1e-6) * np.isin(np.arange(len(KINDS)), kinds)
+        p[:, OTHER] *= np.where(ordinary[left], 1e6, DROPPED_MARK)
+        p /= p.sum(1, keepdims=True)
+        where = {at: i for i, at in enumerate(left)}
+        for rows in forms.values():
+            mine = [where[r] for r in rows if r in where]
+            if mine:
+                p[mine] = np.maximum(p[mine], LEAST * (p[mine] > 0)) * p[mine].mean(0) ** FORM_POWER
+        y[left] = p.argmax(1)
     return y
 
 
-def fit(comments: list[tuple[str, str | None]]) -> BoostedTrees:
+class MarkupModel:
+    """Boosted trees on the features of a node and on the kinds that nodes of its form had in the sample."""
+
+    def __init__(self) -> None:
+        self.trees, self.forms, self.mean = BoostedTrees(len(KINDS), columns=0.9), {}, np.zeros(len(KINDS))
+
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, form: list[tuple]) -> "MarkupModel":
+        hot = np.eye(len(KINDS))[y]
+        self.mean = hot.mean(0)
+        sums: dict[tuple, np.ndarray] = {}
+        for f, h in zip(form, hot):
+            sums[f] = sums.get(f, 0) + h
+        self.forms = {f: (n + self.mean) / (n.sum() + 1) for f, n in sums.items()}
+        share = np.bincount(y, weight, len(KINDS))
+        self.trees.fit(self._with_forms(x, form), y, weight * np.sqrt(share.sum() / np.maximum(share, 1.0))[y])
+        return self
+
+    def _with_forms(self, x: np.ndarray, form: list[tuple]) -> np.ndarray:
+        return np.concatenate([x, np.array([self.forms.get(f, self.mean) for f in form]).reshape(len(x), len(KINDS))], axis=1)
+
+    def scores(self, x: np.ndarray, form: list[tuple] | None = None) -> np.ndarray:
+        return self.trees.scores(self._with_forms(x, form or [()] * len(x)))
+
+
+def fit(comments: list[tuple[str, str | None]]) -> "MarkupModel":
     """Boosted trees from pairs of marked-up and flattened text; see the head of the module."""
     x, sets, said, forms, plain = [], [], [], {}, set()
     for raw, flat in comments:
@@ -395,13 +419,17 @@ def fit(comments: list[tuple[str, str | None]]) -> BoostedTrees:
                 sets.append(left)
                 said.append(_letters(n.text))
     if not x:
-        return BoostedTrees(len(KINDS)).fit(design([[0.0] * len(FEATURES)]), np.array([OTHER]))
+        return MarkupModel().fit(design([[0.0] * len(FEATURES)]), np.array([OTHER]), np.ones(1), [("line", "", 0, 1)])
     full = design(x)
     weight = np.empty(len(x))
     for rows in forms.values():  # rare forms count as if there were more of them
         weight[rows] = min(RARE_TIMES, FORM_WEIGHT / len(rows))
     y = _co_trained(full, sets, weight, forms, np.array([t in plain for t in said]))
-    return BoostedTrees(len(KINDS), columns=0.9).fit(full, y, weight)
+    form = [()] * len(x)
+    for key, rows in forms.items():
+        for r in rows:
+            form[r] = key[:-1]
+    return MarkupModel().fit(full, y, weight, form)
 
 
 def decode(nodes: list[Node], scores: np.ndarray) -> list[int]:
@@ -486,7 +514,7 @@ def render(raw: str, nodes: list[Node], kinds: list[int]) -> str:
     return "\n".join(out)
 
 
-def model(df: DataFrame, raw: str = "raw_comments", flat: str = "comments", sample_rows: int = SAMPLE_ROWS) -> BoostedTrees:
+def model(df: DataFrame, raw: str = "raw_comments", flat: str = "comments", sample_rows: int = SAMPLE_ROWS) -> MarkupModel:
     """Fitted in a task on at most ``sample_rows`` rows, the first by a hash of their ids over the whole table."""
 
     def run(batches):
@@ -497,15 +525,15 @@ def model(df: DataFrame, raw: str = "raw_comments", flat: str = "comments", samp
                 pairs += [(c, flats[i] if i < len(flats) else None) for i, c in enumerate(raws or ()) if c]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pairs))], pa.binary())], names=["model"])
 
-    drawn = df.select(F.col(raw).alias("raw"), F.col(flat).alias("flat"), F.xxhash64("tbl", "row_id").alias("h"), "tbl", "row_id").orderBy("h", "tbl", "row_id").limit(sample_rows)
-    fitted = drawn.select("raw", "flat").coalesce(1).mapInArrow(run, "model binary").first()
+    drawn = first_by_hash(df, sample_rows, "tbl", "row_id").select(F.col(raw).alias("raw"), F.col(flat).alias("flat"))
+    fitted = drawn.coalesce(1).mapInArrow(run, "model binary").first()
     return pickle.loads(fitted[0]) if fitted else fit([])
 
 
-def _kinds_of(trees: BoostedTrees, comments: list[str]) -> tuple[list[list[Node]], list[list[int]]]:
+def _kinds_of(trees: MarkupModel, comments: list[str]) -> tuple[list[list[Node]], list[list[int]]]:
     parsed = [parse(c) for c in comments]
     rows = [r for c, nodes in zip(comments, parsed) for r in features(c, nodes)]
-    scores = trees.scores(design(rows)) if rows else np.zeros((0, len(KINDS)))
+    scores = trees.scores(design(rows), [_form(n) for nodes in parsed for n in nodes]) if rows else np.zeros((0, len(KINDS)))
     kinds, at = [], 0
     for nodes in parsed:
         kinds.append(decode(nodes, scores[at : at + len(nodes)]))
@@ -513,7 +541,7 @@ def _kinds_of(trees: BoostedTrees, comments: list[str]) -> tuple[list[list[Node]
     return parsed, kinds
 
 
-def elements(df: DataFrame, trees: BoostedTrees, raw: str = "raw_comments") -> DataFrame:
+def elements(df: DataFrame, trees: MarkupModel, raw: str = "raw_comments") -> DataFrame:
     """``(tbl, row_id, comment_ix, kind, nth)``: one row per structural element, numbered per kind and comment.
 
     Null arrays and elements, empty texts and texts without markup give none.
@@ -541,7 +569,7 @@ def elements(df: DataFrame, trees: BoostedTrees, raw: str = "raw_comments") -> D
     return df.select(F.col("tbl"), F.col("row_id").cast("bigint"), F.col(raw).alias("raw")).mapInArrow(run, "tbl string, row_id bigint, comment_ix bigint, kind string, nth bigint")
 
 
-def clean(df: DataFrame, trees: BoostedTrees, raw: str = "raw_comments") -> DataFrame:
+def clean(df: DataFrame, trees: MarkupModel, raw: str = "raw_comments") -> DataFrame:
     """``(tbl, row_id, texts)``: every row once; null comments stay null, empty ones empty."""
 
     def run(batches):
