@@ -6,13 +6,15 @@ trie: small dictionaries (containers) under a path of leading characters; a cont
 subtrie: its path, its terms and their two counters.
 
 Containers of different tasks are then brought together by *adaptive prefixes*: from the sizes of all
-containers the paths with more terms than one merge should hold ("heavy" paths) are found, and a term
-is routed by its shortest prefix that is not heavy. A container whose path is not heavy travels whole;
-only those on a heavy path are cut. A term occurs once per task, however frequent it is, so no route
-is hot because a term is.
+containers the paths with more terms than one merge should hold ("heavy" paths) are found, going deeper by
+``DEPTH`` characters wherever a path is still heavy, and a term is routed by its shortest prefix that is not
+heavy. A container whose path is not heavy travels whole; only those on a heavy path are cut. A term occurs
+once per task, however frequent it is, so no route is hot because a term is. The subtries of one route are
+merged in a trie of their own, which is written before the next route begins, so a task never holds more
+than one route.
 
 The heavy paths are the only thing sent to the driver: by choice of the limit there are at most
-``(DEPTH + 1) * ROUTES * partitions`` of them, whatever the corpus.
+``ROUTES * partitions`` of each length, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ from pyspark.sql import functions as F
 
 from lexdrift.session import partitions, stage
 
-BURST, FLUSH, DEPTH, ROUTES, LEAST_ROUTE = 2048, 400_000, 24, 4, 4096
+BURST, FLUSH, DEPTH, ROUTES, LEAST_ROUTE, GATHERED = 2048, 400_000, 24, 4, 4096, 50_000  # the last: terms after which a merge is written at the end of a route
 COUNTERS = "occ array<bigint>, recs array<bigint>"
 
 
 class BurstTrie:
     """Terms with two counters; containers split by the next character when they outgrow ``burst``."""
 
-    def __init__(self, burst: int = BURST, depth: int = DEPTH) -> None:
-        self.burst, self.depth, self.root, self.terms = burst, depth, {}, 0
+    def __init__(self, burst: int = BURST) -> None:
+        self.burst, self.root, self.terms = burst, {}, 0
         self.inner: set[int] = set()  # ids of dictionaries that are inner nodes
 
     def add(self, terms: Iterable[str], occ: Iterable[int], recs: Iterable[int]) -> None:
@@ -54,7 +56,7 @@ class BurstTrie:
             if had is None:
                 node[term] = [o, r]
                 self.terms += 1
-                if len(node) > self.burst and level < self.depth:
+                if len(node) > self.burst:
                     self._split(node, level)
             else:
                 had[0] += o
@@ -146,14 +148,14 @@ def _block(path, n, terms, occ, recs) -> pa.RecordBatch:
     )
 
 
-def _route(term: str, heavy: frozenset, depth: int) -> str:
-    for k in range(min(len(term), depth) + 1):
+def _route(term: str, heavy: frozenset) -> str:
+    for k in range(len(term) + 1):
         if term[:k] not in heavy:
             return term[:k]
-    return term[: depth + 1] + "\0"  # ends on a heavy path: the term itself, or beyond the depth cap its first characters
+    return term + "\0"  # the term is a heavy path itself
 
 
-def _routed(heavy: frozenset, depth: int):
+def _routed(heavy: frozenset):
     def run(batches):
         for batch in batches:
             whole, cut = [], {}
@@ -162,11 +164,11 @@ def _routed(heavy: frozenset, depth: int):
             for i, p in enumerate(paths):
                 if p in heavy:
                     for t, o, r in zip(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), batch.column(4)[i].as_py()):
-                        at = cut.setdefault(_route(t, heavy, depth), ([], [], []))
+                        at = cut.setdefault(_route(t, heavy), ([], [], []))
                         at[0].append(t), at[1].append(o), at[2].append(r)
                 else:
                     whole.append(i)
-                    routes.append(_route(p, heavy, depth))
+                    routes.append(_route(p, heavy))
             part = batch.take(pa.array(whole, pa.int64()))
             if whole:
                 yield pa.RecordBatch.from_arrays([pa.array(routes, pa.string()), part.column(2), part.column(3), part.column(4)], names=["route", "terms", "occ", "recs"])
@@ -180,41 +182,58 @@ def _routed(heavy: frozenset, depth: int):
     return run
 
 
-def _merged(batches):
-    """Sum the counters of equal terms over the subtries of one partition."""
-    held, rows = [], 0
+def _merged(burst: int):
+    """Merge the subtries of each route, which come one after the other, and write its terms before the next."""
 
-    def compact():
-        t = pa.concat_tables(held).group_by("term").aggregate([("occ", "sum"), ("recs", "sum")])
-        return pa.table({"term": t["term"], "occ": t["occ_sum"], "recs": t["recs_sum"]})
+    def run(batches):
+        def block():
+            terms = [t for _, held in trie.containers() for t in held]
+            counts = [c for _, held in trie.containers() for c in held.values()]
+            for at in range(0, len(terms), 50_000):
+                part = counts[at : at + 50_000]
+                columns = [pa.array(terms[at : at + 50_000], pa.string()), pa.array([c[0] for c in part], pa.int64()), pa.array([c[1] for c in part], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "occ", "recs"])
+
+        trie, now = BurstTrie(burst), None
+        for b in batches:
+            for i, route in enumerate(b.column(0).to_pylist()):
+                if route != now and trie.terms >= GATHERED:
+                    yield from block()
+                    trie = BurstTrie(burst)
+                now = route
+                trie.add(b.column(1)[i].as_py(), b.column(2)[i].as_py(), b.column(3)[i].as_py())
+        yield from block()
+
+    return run
 
-    least = 1_000_000
-    for b in batches:
-        t = pa.table({"term": pc.list_flatten(b.column(1)), "occ": pc.list_flatten(b.column(2)), "recs": pc.list_flatten(b.column(3))})
-        held.append(t)
-        rows += t.num_rows
-        if rows > least:
-            held = [compact()]
-            rows = held[0].num_rows
-            least = max(least, 2 * rows)
-    if held:
-        yield from compact().combine_chunks().to_batches(max_chunksize=50_000)
+
+def _heavy(subtries: DataFrame, limit: int, depth: int) -> frozenset:
+    """Paths under which more than ``limit`` terms stand; deeper ones are looked for only below heavy ones."""
+    heavy: set[str] = set()
+    paths, at = subtries.groupBy("path").agg(F.sum("n").alias("n")), 0
+    while True:
+        first, last = at if not at else at + 1, at + depth
+        nodes = paths.where(F.length("path") >= first).select(
+            F.explode(F.transform(F.sequence(F.lit(first), F.least(F.length("path"), F.lit(last))), lambda k: F.substring("path", F.lit(1), k))).alias("node"), "n"
+        )
+        found = {r[0] for r in nodes.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("node").collect()}
+        heavy |= found
+        deep = [p for p in found if len(p) == last]
+        if not deep:
+            return frozenset(heavy)
+        # only what lies below the deepest heavy paths, a bounded list, is looked at again
+        paths = paths.where(F.substring("path", 1, last).isin(deep) & (F.length("path") > last))
+        at = last
 
 
 def _count(source: DataFrame, reader, burst: int, flush: int, depth: int) -> DataFrame:
     spark = source.sparkSession
     subtries = stage(source.mapInArrow(_containers(reader, burst, flush), f"path string, n bigint, terms array<string>, {COUNTERS}"), "subtries")
-    sizes = (
-        subtries.groupBy("path").agg(F.sum("n").alias("n"))
-        .select(F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("path"), F.lit(depth))), lambda k: F.substring("path", F.lit(1), k))).alias("node"), "n")
-        .groupBy("node").agg(F.sum("n").alias("n"))
-    )
     p = partitions(spark)
     total = subtries.agg(F.sum("n")).first()[0] or 0
-    limit = max(LEAST_ROUTE, total // (ROUTES * p))
-    heavy = frozenset(r[0] for r in sizes.where(F.col("n") > limit).select("node").collect())
-    routed = subtries.mapInArrow(_routed(heavy, depth), f"route string, terms array<string>, {COUNTERS}")
-    return routed.repartition(p, "route").mapInArrow(_merged, "term string, occ bigint, recs bigint")
+    heavy = _heavy(subtries, max(LEAST_ROUTE, total // (ROUTES * p)), depth)
+    routed = subtries.mapInArrow(_routed(heavy), f"route string, terms array<string>, {COUNTERS}")
+    return routed.repartition(p, "route").sortWithinPartitions("route").mapInArrow(_merged(burst), "term string, occ bigint, recs bigint")
 
 
 def term_counts(df: DataFrame, text: str, burst: int = BURST, flush: int = FLUSH, depth: int = DEPTH) -> DataFrame:

@@ -14,6 +14,11 @@ def test_repeated_lines(spark):
     clean = {(r.tbl, r.row_id): r.comments for r in R.without_repeated_lines(df).collect()}
     assert clean["a", 0] == ["row a", None] and clean["a", 9] is None and clean["a", 10] == ["", "\n", "123"] and clean["b", 0] == ["share this"] and clean[None, 1] == [""]
     assert len(clean) == len(rows)
+    # more frequent lines than may be sent to every task: the same by way of a join
+    assert {tuple(r) for r in R.repeated_line_occurrences(df, sent_at_most=0).collect()} == got
+    twice = df.union(df.where("row_id = 10"))
+    again = [((r.tbl, r.row_id), r.comments) for r in R.without_repeated_lines(twice, sent_at_most=0).collect()]
+    assert dict(again) == clean and len(again) == len(rows) + 1
     assert R.repeated_line_occurrences(df.limit(0)).count() == 0 and R.without_repeated_lines(df.limit(0)).count() == 0
 
 
@@ -24,7 +29,7 @@ def test_share_counts_rows_not_occurrences(spark):
 
 
 def test_burst_trie():
-    t = C.BurstTrie(burst=4, depth=3)
+    t = C.BurstTrie(burst=4)
     rng = random.Random(1)
     true = Counter()
     for _ in range(3000):
@@ -61,6 +66,18 @@ def test_heavy_paths_are_cut(spark, monkeypatch):
     assert {r.term: r.recs for r in C.term_counts(df, "texts", burst=16).collect()} == dict.fromkeys(words, 1)
 
 
+def test_long_common_beginnings_are_cut(spark, monkeypatch):
+    """Terms that share far more characters than one step of depth still go different ways."""
+    monkeypatch.setattr(C, "LEAST_ROUTE", 10)
+    words = ["http://" + "a" * 100 + f"/{i:04d}" for i in range(1500)]
+    df = spark.createDataFrame([(" ".join(words[i::5]),) for i in range(5)], "texts string").repartition(3)
+    seen = {}
+    routed = C._routed
+    monkeypatch.setattr(C, "_routed", lambda heavy: seen.setdefault("heavy", heavy) and routed(heavy))
+    assert {r.term: r.recs for r in C.term_counts(df, "texts", burst=16, depth=8).collect()} == dict.fromkeys(words, 1)
+    assert max(map(len, seen["heavy"])) >= 108 and len({C._route(w, seen["heavy"]) for w in words}) >= 10
+
+
 def test_weighted_counts(spark):
     df = spark.createDataFrame([("a", 3), ("a", None), ("a", 3), (None, 9), ("b", None)], "word string, cn bigint")
     assert {tuple(r) for r in C.weighted_counts(df, "word", "cn").collect()} == {("a", 6, 3), ("b", 0, 1)}
