@@ -1,11 +1,13 @@
 """Personal information in free text: find mentions, replace them by typed placeholders.
 
 Anchor expansion. One Aho-Corasick pass over the lower-cased text finds anchors: at-signs and their
-spelled forms, stems of family names, words for streets, labels of identity numbers, number words.
-A second scan finds runs of digits. At every anchor a local parser for its kind expands left and right
-and validates the boundary; overlapping finds are settled in the order of the parsers. Names are
-recognised by morphology: stems and endings of family names are derived from the name list, so that
-names missing from the (incomplete) list are found too.
+spelled forms, schemes of addresses on the net, digits, stems of family names, listed given names, words for
+streets, labels of identity numbers, number words. At every anchor a local parser for its kind expands left
+and right, as far as its form goes, and validates the boundary; account numbers are checked by their check
+digits. What lies within a net address is no mention. Overlapping finds are settled in the order of the parsers.
+Names are recognised by morphology - stems and endings of family names are derived from the name list, so that
+names missing from the (incomplete) list are found too - and by a listed given name before an unlisted
+capitalised word that the text does not use as an ordinary one.
 
 The automaton and the name list are small and fixed; they are shipped in the closure.
 """
@@ -13,10 +15,12 @@ The automaton and the name list are small and fixed; they are shipped in the clo
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import ahocorasick
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +43,21 @@ NOT_GIVEN = set(
     "ask call see contact login as under lives wants want his her their our my your this that street phone mail write ship send sent paid pay invoice passport id".split()
 )
 
+SCHEME = "://"
+
 LATIN = "A-Za-zÀ-ÖØ-öø-ž"
-_WORD_BEFORE = re.compile(rf"([{LATIN}]+(?:['’][{LATIN}]+)?(?:-[{LATIN}]+)?)( [A-Za-z]\.)? $")
+# (?r): matched backwards from the anchor, however long the word is
+_WORD_BEFORE = regex.compile(rf"(?r)([{LATIN}]+(?:['’][{LATIN}]+)?(?:-[{LATIN}]+)?)( [A-Za-z]\.)? ")
+_FULL_NAME = re.compile(rf"(?: [A-Z]\.)? ([A-ZÀ-ÖØ-Þ][a-zß-öø-ž]{{2,}}(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ž]+)?)(?![{LATIN}\d_'’@./-])")
+_SMALL = re.compile(rf"(?<![{LATIN}])[a-zß-öø-ž]+(?![{LATIN}])")
+_URL_END = re.compile(r"[\s<>\"'()\[\]{}]|$")
 _FAMILY_TAIL = re.compile(rf"(?:-[{LATIN}]+)?")
 _GIVEN_AFTER = re.compile(rf", ?([{LATIN}]+(?:-[{LATIN}]+)?)(?: [A-Za-z]\.)?")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+$")
+_LOCAL = regex.compile(r"(?r)[A-Za-z0-9._%+\-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:(?:\.|(?: ?\[dot\] ?)|(?: ?\(dot\) ?)|_dot_| dot )[A-Za-z0-9\-]+)*(?:\.|(?: ?\[dot\] ?)|(?: ?\(dot\) ?)|_dot_| dot )(?:[A-Za-z]{2,})(?![A-Za-z0-9])", re.I)
 _SPELLED_DOT = re.compile(r"\[dot\]|\(dot\)|_dot_| dot ", re.I)
 _NUMBER_WORDS = re.compile("(?:%s)(?:[ \\-](?:%s)){6,14}(?![A-Za-z])" % ("|".join(NUMBER_WORDS), "|".join(NUMBER_WORDS)), re.I)
+_BEFORE_DIGIT = regex.compile(r"(?r)(?:[+＋(]{1,2}|[A-Za-z]{1,2} ?)")
 _DIGITS = re.compile(r"(?<![A-Za-z\d_.])(?:[+＋(]{0,2}\d|[A-Za-z]{1,2} ?\d)")
 _PHONES = [
     re.compile(p)
@@ -75,17 +86,32 @@ _IDS = [
         r"\d{3}\.\d{3}\.\d{3}-\d{2}",
     )
 ]
-_NO_MENTION = re.compile(r"(?:serial|ticket|hash|order|batch|invoice no|ver\.?|version|build|tracking)(?: no\.?| number| nr\.?)?[ :#]*$", re.I)
+
+
+def _luhn(number: str) -> bool:
+    digits = [int(c) for c in number if c.isdigit()]
+    doubled = sum(sum(divmod(2 * d, 10)) for d in digits[-2::-2])
+    return 13 <= len(digits) <= 19 and (sum(digits[-1::-2]) + doubled) % 10 == 0
+
+
+def _mod97(number: str) -> bool:
+    plain = "".join(number.split()).upper()
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+# account numbers, by form and check digits: cards and international bank accounts
+_ACCOUNTS = [(re.compile(r"\d{4}([ \-]?)\d{4}\1\d{4}\1\d{1,7}"), _luhn), (re.compile(r"[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?"), _mod97)]
+_NO_MENTION = regex.compile(r"(?r)(?:serial|ticket|hash|order|batch|invoice no|ver\.?|version|build|tracking)(?: no\.?| number| nr\.?)?[ :#]*", regex.I)
 _END = re.compile(r"(?![A-Za-z\d_]|[.\-/][A-Za-z\d])")
 _AFTER_LABEL = re.compile(r"(?: ?no\.?| ?nr\.?| ?number| ?nummer| is)?[ :=：]{1,3}(?=((?:[A-Za-z]{1,2} ?)?\d(?:[\d./\- ]?\d){5,14}(?:-?[A-Za-z](?![A-Za-z]))?))", re.I)
 _INITIAL_BEFORE = re.compile(r"(?<![A-Za-z.])[A-Za-z]\. $")
 _MASK = re.compile(r"[A-Z]+__TOKEN")
-_STREET_LEFT = re.compile(r"(?:(?:flat|apt\.?|unit) \d+[a-z]?, ?)?(?:no\. ?)?\d+[a-z]? (?:[^\W\d_]+[ '\-])?[^\W\d_]+ $", re.I)
-_NUMBER_LEFT = re.compile(r"(?:(?:flat|apt\.?|unit) \d+[a-z]?, ?)?(?:no\. ?)?\d+[a-z]?,? $", re.I)
+_STREET_LEFT = regex.compile(r"(?r)(?:(?:flat|apt\.?|unit) \d+[a-z]?, ?)?(?:no\. ?)?\d+[a-z]? (?:[^\W\d_]+[ '\-])?[^\W\d_]+ ", regex.I)
+_NUMBER_LEFT = regex.compile(r"(?r)(?:(?:flat|apt\.?|unit) \d+[a-z]?, ?)?(?:no\. ?)?\d+[a-z]?,? ", regex.I)
 _BEFORE_RIGHT = re.compile(r"[^\W\d_]+(?:[ \-][^\W\d_]+)?,? \d+[a-z]?(?:/\d+)?", re.I)
 _WORD_RIGHT = re.compile(r"[^\W\d_]+")
 _JOINED_RIGHT = re.compile(r" \d+[a-z]?(?![\w])", re.I)
-_JOINED_LEFT = re.compile(r"[^\W\d_]+$")
+_JOINED_LEFT = regex.compile(r"(?r)[^\W\d_]+")
 _UNIT = re.compile(r", (?:apt|flat|unit)\.? \d+[a-z]?", re.I)
 _TOWN = re.compile(r", (?:(?:port|san|saint|st\.|bad|new) )?[^\W\d_]+(?: \d{4,6})?(?![\w])", re.I)
 
@@ -133,7 +159,9 @@ class Finder:
         for words, role in ((AT, "at"), (NUMBER_WORDS, "words"), (STREET_BEFORE, "before"), (STREET_JOINED, "joined"), (ID_LABELS, "label")):
             keys |= dict.fromkeys(words, role)
         keys |= {f" {w}": "after" for w in STREET_AFTER}
-        keys |= dict.fromkeys((s for s in self.stems | self.listed), "family")
+        keys |= {chr(c): "digit" for c in range(0x10000) if chr(c).isdecimal()} | {SCHEME: "scheme"}
+        keys |= dict.fromkeys(self.given, "given")
+        keys |= dict.fromkeys(self.stems | self.listed, "family")
         auto = ahocorasick.Automaton()
         for key, role in keys.items():
             auto.add_word(key, (role, len(key)))
@@ -142,6 +170,7 @@ class Finder:
         stem = "|".join(sorted(map(re.escape, self.stems), key=len, reverse=True)) or "(?!)"
         listed = "|".join(sorted(map(re.escape, self.listed), key=len, reverse=True)) or "(?!)"
         self.family = re.compile(rf"(?:(?:{stem})(?:{stem_end})|{listed})(?![{LATIN}])")
+        self.double = re.compile(rf"-(?={self.family.pattern})")
         self.auto = auto
 
     # each parser returns (start, end) or None; low has the length of text
@@ -154,13 +183,13 @@ class Finder:
                 left -= 1
             if right < len(text) and text[right] == " ":
                 right += 1
-        local = _LOCAL.search(text, max(0, left - 64), left)
+        local = _LOCAL.match(text, 0, left)
         if not local:
             return None
         start = local.start()
         while start < left and text[start] in "._%+-":
             start += 1
-        domain = _DOMAIN.match(text, right, min(len(text), right + 160))
+        domain = _DOMAIN.match(text, right)
         if start == left or not domain:
             return None
         spelled = _SPELLED_DOT.search(domain.group())
@@ -177,7 +206,7 @@ class Finder:
             end = at + size
             if end < len(text) and (low[end].isalnum() or low[end] == "_"):
                 return None
-            m = _STREET_LEFT.search(low, max(0, at - 60), at + 1)
+            m = _STREET_LEFT.match(low, 0, at + 1)
             if not m:
                 return None
             nxt = _WORD_RIGHT.match(low, end + 1) if low[end : end + 1] == " " else None
@@ -190,7 +219,7 @@ class Finder:
             if at and low[at - 1].isalnum():
                 return None
             tail = low[at : at + size]
-            number = _NUMBER_LEFT.search(low, max(0, at - 24), at)
+            number = _NUMBER_LEFT.match(low, 0, at)
             if number:
                 w = _WORD_RIGHT.match(low, at + size)
                 if not w:
@@ -202,7 +231,7 @@ class Finder:
                     return None
                 start, end = at, w.end()
         else:
-            w, n = _JOINED_LEFT.search(low, max(0, at - 30), at), _JOINED_RIGHT.match(low, at + size)
+            w, n = _JOINED_LEFT.match(low, 0, at), _JOINED_RIGHT.match(low, at + size)
             if not w or not n or len(w.group()) < 3:
                 return None
             start, end = w.start(), n.end()
@@ -226,10 +255,10 @@ class Finder:
         if at and low[at - 1] == "-":  # second half of a double name
             return None
         end = m.end()
-        tail = re.compile(rf"-(?={self.family.pattern})").match(low, end)
+        tail = self.double.match(low, end)
         if tail:
             end = self.family.match(low, tail.end()).end()
-        before = _WORD_BEFORE.search(text, max(0, at - 48), at)
+        before = _WORD_BEFORE.match(text, 0, at)
         after = _GIVEN_AFTER.match(text, end)
         if before:
             word = before.group(1)
@@ -244,9 +273,23 @@ class Finder:
             return at, after.end()
         return None
 
+    def _given(self, text: str, low: str, at: int, size: int, ordinary: set[str]):
+        """A listed given name before one capitalised word: only where case tells names, and not if the word also stands in small letters."""
+        end = at + size
+        if not text[at].isupper() or at and (low[at - 1].isalnum() or low[at - 1] in "@._/-"):
+            return None
+        m = _FULL_NAME.match(text, end)
+        if not m or m.group(1).lower() in ordinary or m.group(1).lower() in NOT_GIVEN:
+            return None
+        return at, m.end()
+
     def _number(self, text: str, at: int):
-        if _NO_MENTION.search(text, max(0, at - 20), at):
+        if _NO_MENTION.match(text, 0, at):
             return None
+        for form, valid in _ACCOUNTS:
+            m = form.match(text, at)
+            if m and _END.match(text, m.end()) and valid(m.group()):
+                return "id_number", m.start(), m.end()
         for kind, forms in (("id_number", _IDS), ("phone", _PHONES)):
             for form in forms:
                 m = form.match(text, at)
@@ -263,22 +306,38 @@ class Finder:
         low = same_length_lower(text)
         cased = low != text and _MASK.sub("", text) != _MASK.sub("", text).lower()
         found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-        last_words = -1
+        given: list[tuple[int, int]] = []
+        last_words = numbers_done = url_end = -1
         for last, (role, size) in self.auto.iter(low):
             at = last - size + 1
-            if role == "at":
-                r = self._email(text, low, at, size)
-                kind = "email"
+            r, kind = None, ""
+            if role == "digit":
+                if at < numbers_done or at and text[at - 1].isdigit() or at < url_end:
+                    continue
+                before = _BEFORE_DIGIT.match(text, 0, at)
+                for start in range(before.start() if before else at, at + 1):
+                    if _DIGITS.match(text, start) and (number := self._number(text, start)):
+                        found[number[0]].append(number[1:])
+                        numbers_done = number[2]
+                        break
+                continue
+            if role == "scheme":
+                url_end = _URL_END.search(text, last + 1).start() if last >= url_end else url_end
+            elif role == "at":
+                r, kind = self._email(text, low, at, size) if at >= url_end else None, "email"
             elif role == "family":
                 r, kind = self._name(text, low, at, cased), "name"
+            elif role == "given":
+                if cased:
+                    given.append((at, size))
             elif role == "words":
-                kind, r = "phone", None
+                kind = "phone"
                 if at > last_words and not (at and low[at - 1].isalpha()):
                     m = _NUMBER_WORDS.match(low, at)
                     if m:
                         r, last_words = (m.start(), m.end()), m.end()
             elif role == "label":
-                r, kind = None, "id_number"
+                kind = "id_number"
                 m = _AFTER_LABEL.match(text, last + 1)
                 if m and not any(p.match(text, m.end()) for p in _PHONES):
                     r = m.span(1)
@@ -286,19 +345,16 @@ class Finder:
                 r, kind = self._address(text, low, at, size, role, cased), "address"
             if r:
                 found[kind].append(r)
-        at = 0
-        while m := _DIGITS.search(text, at):
-            r = self._number(text, m.start())
-            at = m.start() + 1
-            if r:
-                found[r[0]].append(r[1:])
-                at = r[2]
-        taken: list[tuple[int, int, str]] = []
+        if given:
+            ordinary = set(_SMALL.findall(text))
+            found["name"] += [r for at, size in given if (r := self._given(text, low, at, size, ordinary))]
+        taken: list[tuple[int, int, str]] = []  # in order, none overlapping
         for kind in KINDS:
             for s, e in sorted(set(found[kind]), key=lambda x: (x[0], -x[1])):
-                if all(e <= a or s >= b for a, b, _ in taken):
-                    taken.append((s, e, kind))
-        return [(k, s, e) for s, e, k in sorted(taken)]
+                k = bisect_left(taken, (e,))
+                if k == 0 or taken[k - 1][1] <= s:
+                    taken.insert(k, (s, e, kind))
+        return [(k, s, e) for s, e, k in taken]
 
     def mask(self, text: str | None) -> str | None:
         """The text with each mention replaced; null stays null, a text without mentions stays as it is."""

@@ -55,3 +55,35 @@ def test_edges(spark, find):
     assert kept == {1: None, 2: []}
     assert P.mentions(df.limit(0), find, "comments").count() == 0
     assert P.Finder([], []).mask("Marta Velberg") == "Marta Velberg"
+
+
+def test_accounts_are_checked_by_their_digits():
+    f = P.Finder(["Zofia"], ["Kandstrom"])
+    assert [k for k, *_ in f.find("card 4111 1111 1111 1111 ok")] == ["id_number"] and f.find("card 4111 1111 1111 1112 ok") == []
+    assert [k for k, *_ in f.find("iban DE89 3704 0044 0532 0130 00 end")] == ["id_number"] and "id_number" not in [k for k, *_ in f.find("iban DE88 3704 0044 0532 0130 00 end")]
+
+
+def test_anchors_expand_without_windows():
+    f = P.Finder(["Zofia"], [])
+    for n in (10, 80, 500):
+        assert f.find("x " + "a" * n + "@mail.test") == [("email", 2, 2 + n + 10)]
+        assert f.find("to a@" + "b" * n + ".test now") == [("email", 3, 3 + 2 + n + 5)]
+        assert f.find("at 12 " + "b" * n + " street, x")[0][:2] == ("address", 3)
+    assert f.find("see https://user:word@host.test/99?call=311-555-0149 now") == []
+    assert f.find("call ７９２-５５５-０１０７ now") == [("phone", 5, 17)]
+
+
+def test_listed_given_name_before_an_unlisted_word():
+    f = P.Finder(["Zofia", "Mark"], [])
+    assert f.find("I met Zofia Brandt today") == [("name", 6, 18)] and f.find("I met Zofia B. Brandt today") == [("name", 6, 21)]
+    assert f.find("Mark Words are words") == [] and f.find("Mark my words") == [] and f.find("zofia brandt") == []
+
+
+def test_many_anchors_take_linear_time():
+    import time
+
+    f = P.Finder(["Zofia"], ["Kandstrom"])
+    began = time.time()
+    for piece in ("a@", "1", "1 ", "a.b@c.", "1 a street ", "://", "+", "Zofia ", "12 st "):
+        f.find(piece * 20_000)
+    assert time.time() - began < 30
