@@ -6,8 +6,8 @@ space still holds it; when a new container is needed and all places are taken, t
 item larger than the capacity is cut into full containers and a rest; nothing else is split.
 
 At the end of a task its open containers that are not yet full enough are given up and their pieces packed
-again in a second, smaller round (the pieces are a few numbers each), so unused space does not grow with
-the number of tasks. All capacities are packed in the one pass that tokenizes the texts, without a shuffle.
+again, online as well, in a second round of as many tasks as its pieces need (they are a few numbers each), so
+unused space does not grow with the number of tasks. All capacities are packed in the one pass that tokenizes the texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexdrift.llm import tokens
-from lexdrift.session import partitions, stage
+from lexdrift.session import stage
 
-OPEN_BINS, FULL, SECOND_ROUND = 64, 0.98, 16
+OPEN_BINS, FULL, SECOND_ROWS = 64, 0.98, 100_000  # the last: pieces of one task of the second round
 CAPACITIES_AT_MOST = 1000
 SCHEMA = "bin_size_id int, container bigint, capacity int, filled int, doc_id bigint, piece int, first_token int, tokens int, done boolean"
 
@@ -161,8 +161,9 @@ def pack(documents: DataFrame, bin_sizes: DataFrame, path: str = tokens.RANKS, o
     if any(c < 1 for _, c in capacities):
         raise ValueError("a capacity must be positive")
     packed = stage(documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_first(capacities, path, open_bins, full), SCHEMA), "packed")
-    fewer = max(1, partitions(documents.sparkSession) // SECOND_ROUND)
-    again = packed.where("not done").repartition(fewer, "bin_size_id", "container").sortWithinPartitions(F.desc("tokens"), "doc_id", "piece").mapInArrow(_second(open_bins), SCHEMA)
+    left = packed.where("not done")
+    tasks = max(1, -(-left.count() // SECOND_ROWS))
+    again = left.repartition(tasks, "bin_size_id", "container").sortWithinPartitions("bin_size_id", "container", "doc_id", "piece").mapInArrow(_second(open_bins), SCHEMA)
     return packed.where("done").union(again).drop("done")
 
 
