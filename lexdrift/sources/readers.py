@@ -6,10 +6,14 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexdrift.operators.vocabulary import indexed
+from lexdrift.session import partitions
+
+QUESTIONS = 10_000  # lines that look for their header in one task
 VOCAB = T.StructType([T.StructField("word", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("cn", "gcn", "bcn"))])
 
 
@@ -58,10 +62,20 @@ def like_pages(pages: DataFrame, column: str = "url", unlike: list[str] | None =
     return out
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """``(line_id, value)`` of a text file, numbered in file order."""
-    lines = spark.read.text(path)
-    return lines.select(F.monotonically_increasing_id().alias("line_id"), "value")
+def _numbered(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """``(line_id, value, file, last)`` of a text file or of the files of a folder, numbered from 0 in file order.
+
+    A line's number is its place in its part of a file, as Spark splits it, after the lines of the parts before;
+    a part is one row of the table of offsets. ``last`` marks the last line of a file.
+    """
+    reader = spark.read.option("lineSep", separator) if separator else spark.read
+    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    parts = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    order = Window.orderBy("file", "block")  # a row per part of a file
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("file", "block", "n", "first", before.alias("before"), (F.row_number().over(Window.partitionBy("file").orderBy(F.desc("block"))) == 1).alias("end"))
+    place = F.col("at") - F.col("first")
+    return lines.join(offsets, ["file", "block"]).select((F.col("before") + place).alias("line_id"), "value", "file", (F.col("end") & (place == F.col("n") - 1)).alias("last"))
 
 
 def line_corpus(spark: SparkSession, path: str, chunk: int = 10_000) -> DataFrame:
@@ -73,107 +87,238 @@ def line_corpus(spark: SparkSession, path: str, chunk: int = 10_000) -> DataFram
 
 
 def flat_stream(spark: SparkSession, path: str, chunk: int = 10_000) -> DataFrame:
-    """``(part, tokens)`` of one endless line of tokens."""
-    return line_corpus(spark, path, chunk).where("line_id = 0").select("part", "tokens")
+    """``(part, tokens)`` of one endless line of tokens, read token by token at the blanks, so that it is split like any text."""
+    pieces = _numbered(spark, path, " ").select("line_id", F.filter(F.split("value", r"\s+"), lambda t: t != "").alias("t")).where(F.size("t") > 0)
+    numbered = pieces.select("line_id", F.posexplode("t").alias("pos", "token"))
+    # blanks that follow one another make empty pieces, so the chunks are cut by the number of pieces before
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_id", "pos", "token"))), _token)
+    return numbered.groupBy(F.expr(f"line_id div {chunk}").alias("part")).agg(ordered.alias("tokens"))
+
+
+def _token(piece):
+    return piece["token"]
 
 
 def native_words(spark: SparkSession, path: str, cut: int = 99, end: str = "</s>") -> DataFrame:
-    """``(line_id, tokens)``: tokens between blanks and tabs, cut to ``cut`` characters, every line ended by its mark."""
+    """``(line_id, tokens)``: tokens between blanks and tabs, cut to ``cut`` bytes, every line ended by its mark.
+
+    A file that does not end with a line break loses the token that touches its end, and that line its mark.
+    """
     tokens = F.filter(F.split(F.replace("value", F.lit("\r"), F.lit("")), "[ \t]+"), lambda t: t != "")
-    return _numbered(spark, path).select("line_id", F.concat(F.transform(tokens, lambda t: F.substring(t, 1, cut)), F.array(F.lit(end))).alias("tokens"))
+    cut_off = F.transform(tokens, lambda t: F.when(F.octet_length(t) > cut, F.substring(t.cast("binary"), 1, cut).cast("string")).otherwise(t))
+    ends = _paths(spark, path).mapInArrow(_terminated, "file string, ended boolean")
+    rows = _numbered(spark, path).join(ends, "file", "left")
+    open_end = F.col("last") & ~F.coalesce("ended", F.lit(True))
+    blank = F.col("value").rlike("[ \t]$")
+    return rows.select("line_id", F.when(open_end, F.slice(cut_off, 1, F.greatest(F.size(tokens) - F.when(blank, 0).otherwise(1), F.lit(0)))).otherwise(F.concat(cut_off, F.array(F.lit(end)))).alias("tokens"))
+
+
+def _paths(spark: SparkSession, path: str) -> DataFrame:
+    """``(path)`` of the files; their contents are not read."""
+    return spark.read.format("binaryFile").load(path).select("path")
+
+
+def _open(path: str):
+    """A file of a local or shared file system, opened for reading at any place."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return system.open_input_file(inner)
+
+
+def _terminated(batches):
+    for b in batches:
+        ended = []
+        for p in b.column(0).to_pylist():
+            with _open(p) as f:
+                f.seek(max(0, f.size() - 1))
+                ended.append(f.read(1) in (b"\n", b""))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ended, pa.bool_())], names=["file", "ended"])
 
 
 def whole_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(line_id, text)``: every line a document."""
-    return _numbered(spark, path).withColumnRenamed("value", "text")
+    return _numbered(spark, path).select("line_id", F.col("value").alias("text"))
 
 
 def vocabulary(spark: SparkSession, path: str, min_count: int = 0) -> DataFrame:
-    """``(word, cn, gcn, bcn)`` of a file of four columns; lines that do not fit are dropped."""
+    """``(idx, word, cn, gcn, bcn)`` of a file of four columns; lines that do not fit are dropped.
+
+    The end mark comes first, the others by falling count; words below ``min_count`` are left out, except the end mark.
+    """
     rows = spark.read.schema(VOCAB).option("sep", " ").option("mode", "DROPMALFORMED").option("quote", "").csv(path)
-    return rows.where((F.col("cn") >= min_count) | (F.col("word") == "</s>"))
+    return indexed(rows, min_count)
 
 
 def vectors_text(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """``(idx, word, vector)`` of a text file with a header ``words dim``; lines of another length are skipped. ``first`` keeps the words of lowest numbers."""
     rows = _numbered(spark, path).select("line_id", F.split(F.trim("value"), " ").alias("f"))
-    dim = rows.where("line_id = 0").select(F.element_at("f", 2).cast("int").alias("dim"))
+    dim = rows.where("line_id = 0").select(F.expr("try_cast(get(f, 1) as int)").alias("dim"))
     body = rows.where("line_id > 0").crossJoin(F.broadcast(dim)).where(F.size("f") == F.col("dim") + 1)  # the header is one row
-    out = body.select((F.col("line_id") - 1).alias("idx"), F.get("f", F.lit(0)).alias("word"), F.transform(F.slice("f", 2, 1_000_000), lambda x: x.cast("double")).alias("vector"))
+    out = body.select((F.col("line_id") - 1).alias("idx"), F.get("f", F.lit(0)).alias("word"), F.transform(F.slice("f", F.lit(2), F.col("dim")), lambda x: x.try_cast("double")).alias("vector"))
     return out.where(F.col("idx") < first) if first else out
 
 
+RANGE_BYTES = 16 << 20  # of one range of records
+
+
+class _Records:
+    """Records ``word blank numbers`` of a native binary file, read through a buffer of bounded size."""
+
+    def __init__(self, f, at: int, payload: int) -> None:
+        self.f, self.payload, self.base, self.held = f, payload, at, b""
+        f.seek(at)
+        self.next = at
+
+    def _need(self, size: int) -> bool:
+        while self.next + size > self.base + len(self.held):
+            more = self.f.read(max(1 << 20, size))
+            if not more:
+                return False
+            self.held = self.held[self.next - self.base :] + more
+            self.base = self.next
+        return True
+
+    def one(self):
+        """``(place, word, numbers)`` of the next record, or None at the end of the file."""
+        while True:
+            if not self._need(1):
+                return None
+            if self.held[self.next - self.base] not in b"\n\r":
+                break
+            self.next += 1
+        begin, size = self.next, 128
+        while (blank := self.held.find(b" ", self.next - self.base)) < 0:
+            if not self._need(size):
+                return None
+            size *= 2
+        stop = self.base + blank
+        word = self.held[self.next - self.base : blank]
+        if not self._need(stop + 1 - self.next + self.payload):
+            return None
+        at = stop + 1 - self.base
+        numbers = self.held[at : at + self.payload]
+        self.next = stop + 1 + self.payload
+        return begin, word.decode("utf-8", "replace"), numbers
+
+
+def _ranges(kind: str, number: int):
+    """One row per range of records: ``(path, at, place, rows, payload)``. The words are walked through, one task a file."""
+
+    def run(batches):
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                out = []
+                with _open(p) as f:
+                    head = f.read(100).split(b"\n", 1)[0]
+                    counts = list(map(int, head.split()))
+                    payload = number * (counts[0] if kind == "matrix" else counts[1])
+                    step = max(1, RANGE_BYTES // (payload + 16))
+                    records, place = _Records(f, len(head) + 1, payload), 0
+                    while place < counts[0] and (r := records.one()):
+                        if place % step == 0:
+                            out.append([p, r[0], place, 0, payload])
+                        out[-1][3] += 1
+                        place += 1
+                columns = list(zip(*out)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 4))], names=["path", "at", "place", "rows", "payload"])
+
+    return run
+
+
+def _ranged(spark: SparkSession, path: str, kind: str, number: int) -> DataFrame:
+    """Ranges of all files with ``before``, the records of the files before; a range is some MB, so they are few numbers."""
+    found = _paths(spark, path).mapInArrow(_ranges(kind, number), "path string, at bigint, place bigint, rows bigint, payload bigint")
+    order = Window.orderBy("path", "place").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("before", F.coalesce(F.sum("rows").over(order), F.lit(0)))
+
+
 def vectors_binary(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
-    """The same of the binary form: word, blank, little-endian floats. Files are read whole, one task each."""
+    """``(idx, word, vector)`` of the binary form: word, blank, little-endian floats; a folder is read in the order of its files.
+
+    Files of any size: one pass finds where ranges of records begin, which are then read in parallel.
+    """
 
     def run(batches):
         for b in batches:
-            for blob in b.column(0):
-                yield from _decode(blob.as_buffer(), first)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "idx bigint, word string, vector array<double>")
-
-
-def _decode(data, first):
-    data = memoryview(data)
-    head = bytes(data[:100]).split(b"\n", 1)[0]
-    words, dim = map(int, head.split())
-    at, idx, kept, vecs = len(head) + 1, 0, [], []
-    words = min(words, first) if first else words
-    while idx < words and at < len(data):
-        while data[at] in b"\n\r ":
-            at += 1
-        stop = at
-        while data[stop] != 0x20:
-            stop += 1
-        kept.append(bytes(data[at:stop]).decode("utf-8", "replace"))
-        vecs.append(np.frombuffer(data[stop + 1 : stop + 1 + 4 * dim], "<f4").astype(float).tolist())
-        at, idx = stop + 1 + 4 * dim, idx + 1
-        if len(kept) == 5000 or idx == words:
-            yield pa.RecordBatch.from_arrays([pa.array(range(idx - len(kept), idx), pa.int64()), pa.array(kept), pa.array(vecs, pa.list_(pa.float64()))], names=["idx", "word", "vector"])
-            kept, vecs = [], []
+            for p, at, rows, payload, before in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5))):
+                with _open(p) as f:
+                    records = _Records(f, at, payload)
+                    got = [records.one() for _ in range(rows)]
+                numbers = np.frombuffer(b"".join(r[2] for r in got), "<f4").astype(np.float64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * (payload // 4), pa.int32()), pa.array(numbers))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(before, before + rows)), pa.array([r[1] for r in got]), lists], names=["idx", "word", "vector"])
+
+    ranges = _ranged(spark, path, "vectors", 4)
+    ranges = ranges.where(F.col("before") < first) if first else ranges
+    out = ranges.repartition(partitions(spark), "path", "at").mapInArrow(run, "idx bigint, word string, vector array<double>")
+    return out.where(F.col("idx") < first) if first else out
 
 
 def matrix_binary(spark: SparkSession, path: str, kind: str = "f") -> DataFrame:
-    """``(row, word, col, value)`` of a dump: number of words, then per row its word, a blank and as many 32-bit floats (``f``) or 64-bit integers (``q``)."""
+    """``(row, word, col, value)``, the cells other than 0 of a dump: number of words, then per row its word, a blank and as many 32-bit floats (``f``) or 64-bit integers (``q``)."""
     size = struct.calcsize("<" + kind)
 
     def run(batches):
         for b in batches:
-            for blob in b.column(0):
-                data = memoryview(blob.as_buffer())
-                head = bytes(data[:40]).split(b"\n", 1)[0]
-                v, at = int(head), len(head) + 1
-                for row in range(v):
-                    while data[at] in b"\n\r":
-                        at += 1
-                    stop = at
-                    while data[stop] != 0x20:
-                        stop += 1
-                    word = bytes(data[at:stop]).decode("utf-8", "replace")
-                    values = np.frombuffer(data[stop + 1 : stop + 1 + size * v], f"<{kind}{size}" if kind == "f" else "<i8").astype(float)
-                    at = stop + 1 + size * v
-                    some = np.flatnonzero(values)
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(some), pa.int64()), pa.array([word] * len(some), pa.string()), pa.array(some), pa.array(values[some])], names=["row", "word", "col", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row bigint, word string, col bigint, value double")
+            for p, at, rows, payload, before in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5))):
+                with _open(p) as f:
+                    records = _Records(f, at, payload)
+                    for row in range(before, before + rows):
+                        _, word, numbers = records.one()
+                        values = np.frombuffer(numbers, "<f4" if kind == "f" else "<i8").astype(float)
+                        some = np.flatnonzero(values)
+                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(some), pa.int64()), pa.array([word] * len(some), pa.string()), pa.array(some), pa.array(values[some])], names=["row", "word", "col", "value"])
+
+    return _ranged(spark, path, "matrix", size).repartition(partitions(spark), "path", "at").mapInArrow(run, "row bigint, word string, col bigint, value double")
 
 
 def matrix_npy(spark: SparkSession, path: str) -> DataFrame:
-    """``(row, col, value)`` of the non-zero cells of a two-dimensional array file."""
+    """``(row, col, value)`` of the cells other than 0 of a two-dimensional array file of any size, read by ranges of rows."""
 
-    def run(batches):
-        import io
+    def header(f):
+        version = np.lib.format.read_magic(f)
+        shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+        if len(shape) != 2 or fortran or kind.hasobject:
+            raise ValueError("only two-dimensional arrays of numbers in row order are read")
+        return shape, kind
 
+    def ranges(batches):
         for b in batches:
-            for blob in b.column(0):
-                m = np.load(io.BytesIO(blob.as_py()), allow_pickle=False)
-                for at in range(0, len(m), 1000):
-                    r, c = np.nonzero(m[at : at + 1000])
-                    yield pa.RecordBatch.from_arrays([pa.array(r + at), pa.array(c), pa.array(m[at : at + 1000][r, c].astype(float))], names=["row", "col", "value"])
+            for p in b.column(0).to_pylist():
+                with _open(p) as f:
+                    shape, kind = header(f)
+                    step = max(1, RANGE_BYTES // max(1, shape[1] * kind.itemsize))
+                    at = list(range(0, shape[0], step))
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array([min(step, shape[0] - a) for a in at], pa.int64())], names=["path", "at", "rows"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row bigint, col bigint, value double")
+    def run(batches):
+        for b in batches:
+            for p, at, rows in zip(*(b.column(i).to_pylist() for i in range(3))):
+                with _open(p) as f:
+                    shape, kind = header(f)
+                    f.seek(f.tell() + at * shape[1] * kind.itemsize)
+                    m = np.frombuffer(f.read(rows * shape[1] * kind.itemsize), kind).reshape(rows, shape[1])
+                r, c = np.nonzero(m)
+                yield pa.RecordBatch.from_arrays([pa.array(r + at), pa.array(c), pa.array(m[r, c].astype(float))], names=["row", "col", "value"])
+
+    found = _paths(spark, path).mapInArrow(ranges, "path string, at bigint, rows bigint")
+    return found.repartition(partitions(spark), "path", "at").mapInArrow(run, "row bigint, col bigint, value double")
+
+
+def map_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """``(cluster, heldout, x, y)`` for the linear maps: a folder per cluster with the files ``train.x``, ``train.y``, ``heldout.x`` and ``heldout.y``.
+
+    Each line is a key and its numbers; the two sides are joined by the key, within a cluster and a half.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.split(F.trim("value"), r"\s+").alias("f"), F.col("_metadata.file_path").alias("file")).where(F.size("f") > 1)
+    name = F.regexp_extract("file", r"([^/]+)$", 1)
+    rows = lines.select(
+        F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("cluster"), name.startswith("heldout").alias("heldout"), F.regexp_extract(name, r"^(?:train|heldout)\.([xy])", 1).alias("side"),
+        F.get("f", F.lit(0)).alias("key"), F.transform(F.slice("f", F.lit(2), F.size("f")), lambda x: x.cast("double")).alias("v"),
+    )
+    x, y = (rows.where(F.col("side") == s).select("cluster", "heldout", "key", F.col("v").alias(s)) for s in "xy")
+    return x.join(y, ["cluster", "heldout", "key"]).select("cluster", "heldout", "x", "y")
 
 
 def aligned(a: DataFrame, b: DataFrame, key: str = "word") -> DataFrame:
@@ -209,11 +354,13 @@ def tokenized_texts(spark: SparkSession, path: str, forum: str, typed: bool = Tr
 def analogy_questions(spark: SparkSession, path: str) -> DataFrame:
     """``(qid, section, a, b, c, d)``: lines of four words under headers ``: section``, words in upper case.
 
-    The header of a line is the last one before it; headers are few, so they are joined by their ranges.
+    The header of a line is the last one before it, carried along in the order of the lines: within a part of
+    the file, and from part to part by the last header of each.
     """
-    rows = _numbered(spark, path)
-    heads = rows.where("value like ':%'").select("line_id", F.trim(F.expr("substring(value, 2)")).alias("section")).limit(10_000)
-    listed = F.broadcast(heads.agg(F.array_sort(F.collect_list(F.struct("line_id", "section"))).alias("h")))  # one row of at most 10,000 headers
-    q = rows.where("value not like ':%'").select("line_id", F.split(F.trim(F.upper("value")), r"\s+").alias("w")).where(F.size("w") == 4).crossJoin(listed)
-    section = F.element_at(F.expr("filter(h, x -> x.line_id < line_id)"), -1)["section"]
-    return q.select(F.col("line_id").alias("qid"), F.when(F.size(F.expr("filter(h, x -> x.line_id < line_id)")) > 0, section).alias("section"), *(F.get("w", F.lit(i)).alias(c) for i, c in enumerate("abcd")))
+    rows = _numbered(spark, path).withColumn("block", F.expr(f"line_id div {QUESTIONS}"))
+    head = F.when(F.col("value").startswith(":"), F.trim(F.expr("substring(value, 2)")))
+    seen = rows.withColumn("own", F.last(head, ignorenulls=True).over(Window.partitionBy("block").orderBy("line_id")))
+    ends = rows.groupBy("block").agg(F.max_by(head, F.when(head.isNotNull(), F.col("line_id"))).alias("end"))
+    carried = ends.withColumn("before", F.last("end", ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("block", "before")  # a row per block of lines
+    q = seen.join(carried, "block").where(~F.col("value").startswith(":")).select("line_id", F.coalesce("own", "before").alias("section"), F.split(F.trim(F.upper("value")), r"\s+").alias("w")).where(F.size("w") == 4)
+    return q.select(F.col("line_id").alias("qid"), "section", *(F.get("w", F.lit(i)).alias(c) for i, c in enumerate("abcd")))

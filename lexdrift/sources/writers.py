@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-import struct
+import uuid
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def upserted(df: DataFrame, path: str, key: str, *latest: F.Column) -> None:
-    """A table with the last row of every key."""
+    """Add rows to the table at ``path``: the last row of every key stays, of those stored and those added.
+
+    Rows without a key are dropped; at equal ``latest`` the added row wins. The new table is written
+    beside the old one and takes its place when it is whole.
+    """
     from lexdrift.operators.threads import upsert
 
-    upsert(df, key, *latest).write.mode("overwrite").parquet(path)
+    spark, new = df.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    target, written = sc._jvm.org.apache.hadoop.fs.Path(path), sc._jvm.org.apache.hadoop.fs.Path(new)
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    added = df.withColumn("_added", F.lit(1))
+    if fs.exists(target):
+        added = spark.read.parquet(path).withColumn("_added", F.lit(0)).unionByName(added, allowMissingColumns=True)
+    upsert(added, key, *latest, F.col("_added")).drop("_added").write.parquet(new)
+    fs.delete(target, True)
+    if not fs.rename(written, target):
+        raise OSError(f"the new table stays at {new}")
 
 
 def indexed_threads(df: DataFrame, path: str, key: str = "row_id") -> None:
@@ -61,13 +77,35 @@ def vectors_text(vectors: DataFrame, path: str) -> None:
     head.union(body).repartitionByRange(1, "idx").sortWithinPartitions("idx").select("value").write.mode("overwrite").text(path)
 
 
-def vectors_binary(vectors: DataFrame, path: str) -> None:
-    """The binary form; the file is one stream by definition, so rows are fetched partition by partition."""
-    n = vectors.count()
-    with open(path, "wb") as f:
-        f.write(f"{n} {len(vectors.first()['vector']) if n else 0}\n".encode())
-        for r in vectors.orderBy("idx").toLocalIterator():
-            f.write(r["word"].encode() + b" " + struct.pack(f"<{len(r['vector'])}f", *r["vector"]) + b"\n")
+def vectors_binary(vectors: DataFrame, path: str, parts: int = 1) -> None:
+    """The binary form: a folder of ``parts`` native files, each with its header, in the order of the numbers.
+
+    Every file is written by its task, straight to the file system of the path.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        rows = [(w, v) for b in batches for w, v in zip(b.column(1).to_pylist(), b.column(2))]
+        system, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+        system.create_dir(inner, recursive=True)
+        name = f"{inner.rstrip('/')}/part-{TaskContext.get().partitionId():05d}.bin"
+        with system.open_output_stream(f"{name}.tmp") as f:
+            f.write(f"{len(rows)} {len(rows[0][1]) if rows else 0}\n".encode())
+            for w, v in rows:
+                f.write(w.encode() + b" " + v.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes() + b"\n")
+        system.move(f"{name}.tmp", name)  # a task that is run again replaces its file
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["n"])
+
+    ordered = vectors.select("idx", "word", "vector").repartitionByRange(parts, "idx").sortWithinPartitions("idx")
+    ordered.mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
+def output_matrix(weights, words: DataFrame, path: str, binary: bool = False) -> None:
+    """The output matrix of a training (``syn1``, ``syn1neg``), a row per word, in the form of vectors."""
+    from lexdrift.operators.training import as_vectors
+
+    (vectors_binary if binary else vectors_text)(as_vectors(words, {"out": weights}).select("idx", "word", "vector"), path)
 
 
 def classes_text(classes: DataFrame, path: str) -> None:
@@ -99,3 +137,26 @@ def linear_maps(maps: DataFrame, path: str) -> None:
 def plot_points(points: DataFrame, path: str) -> None:
     """Tables of points for the panels of a plot: measure, value, occurrence; drawing is left to others."""
     points.write.mode("overwrite").partitionBy("measure").json(path)
+
+
+def phrase_text(lines: DataFrame, path: str) -> None:
+    """Lines ``(line_id, tokens)`` with their phrases, as text in the order of the numbers."""
+    lines.orderBy("line_id").select(F.array_join("tokens", " ")).write.mode("overwrite").text(path)
+
+
+def comparison_json(report: DataFrame, path: str) -> None:
+    """One JSON object a line and word: occurrences, distances and the two nested lists ``most_probable`` and ``most_occurred``."""
+    report.orderBy("word").select(F.to_json(F.struct(*report.columns), {"ignoreNullFields": "false"})).write.mode("overwrite").text(path)
+
+
+def comparison_stats_json(details: DataFrame, stats: DataFrame, path: str) -> None:
+    """``stats``: measure to its statistics; ``details``: a line a word."""
+    pairs = F.sort_array(F.collect_list(F.struct("measure", F.struct(*(c for c in stats.columns if c != "measure")).alias("s"))))  # a row per measure
+    stats.agg(F.to_json(F.map_from_entries(pairs))).write.mode("overwrite").text(f"{path}/stats")
+    details.orderBy("word").write.mode("overwrite").json(f"{path}/details")
+
+
+def annotation_json(tokens: DataFrame, path: str) -> None:
+    """``token`` to its triples ``[forum, type, tagger]``, one object a line."""
+    triples = F.sort_array(F.collect_set(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("forum", "type", "tagger")))))
+    tokens.groupBy("token").agg(triples.alias("triples")).orderBy("token").select(F.to_json(F.create_map("token", "triples"))).write.mode("overwrite").text(path)
