@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 
 from lexdrift.functions.text import span, word_tokens
 from lexdrift.operators import vectors as X
+from lexdrift.operators.order import numbered
 from lexdrift.operators.threads import search_lines
 
 
 def candidates(vectors: DataFrame, counts: DataFrame, least_good: int = 100, least_bad: int = 50, ceiling: float = 0.3) -> DataFrame:
     """``(rank, word, idx, sim, gcn, bcn)``: frequent words whose two vectors differ most, ranked by rising similarity.
 
-    Similarities are rounded to six digits, ties go to the lower number. The rank is a running number over
-    the candidates only, which the ceiling and the floors keep few.
+    Similarities are rounded to six digits, ties go to the lower number.
     """
     sims = X.cross_model(vectors).select("word", "idx", F.round("sim", 6).alias("sim")).where(F.col("sim") < ceiling)
     few = sims.join(counts, "word").where((F.col("gcn") >= least_good) & (F.col("bcn") >= least_bad))
-    return few.withColumn("rank", F.row_number().over(Window.orderBy("sim", "idx")).cast("bigint")).select("rank", "word", "idx", "sim", "gcn", "bcn")
+    return numbered(few, "rank", F.col("sim"), F.col("idx"), start=1).select("rank", "word", "idx", "sim", "gcn", "bcn")
 
 
 def explained(cands: DataFrame, vectors: DataFrame, counts: DataFrame, k: int = 100, least: int = 10, against: str = "good") -> DataFrame:

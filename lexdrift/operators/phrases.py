@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexdrift.operators.order import in_parts
+from lexdrift.session import stage
+
 
 def unigrams(lines: DataFrame) -> DataFrame:
     """``(word, n)`` of ``lines(line_id, tokens)``."""
@@ -24,21 +27,18 @@ def bigrams(lines: DataFrame, cross_line: bool = True) -> DataFrame:
 
 
 def _borders(lines: DataFrame) -> DataFrame:
-    ends = (
-        lines.where(F.size("tokens") > 0).select("line_id", F.element_at("tokens", 1).alias("first"), F.element_at("tokens", -1).alias("last"))
-        .repartitionByRange("line_id").sortWithinPartitions("line_id").withColumn("part", F.spark_partition_id())
-    )
+    ends = in_parts(lines.where(F.size("tokens") > 0).select("line_id", F.element_at("tokens", 1).alias("first"), F.element_at("tokens", -1).alias("last")), F.col("line_id"))
     within = ends.withColumn("a", F.lag("last").over(Window.partitionBy("part").orderBy("line_id")))
     # one row per partition: its last word, carried to the next partition that has rows
     tails = ends.groupBy("part").agg(F.max_by("last", "line_id").alias("last"))
     carried = tails.withColumn("before", F.lag("last").over(Window.orderBy("part"))).select("part", "before")
-    heads = within.where("a is null").join(F.broadcast(carried), "part").where("before is not null").select(F.col("before").alias("a"), F.col("first").alias("b"))
+    heads = within.where("a is null").join(carried, "part").where("before is not null").select(F.col("before").alias("a"), F.col("first").alias("b"))
     return within.where("a is not null").select("a", F.col("first").alias("b")).union(heads)
 
 
 def scores(lines: DataFrame, min_count: int = 5, cross_line: bool = True) -> DataFrame:
     """``(a, b, n, score)`` with score (n - min) / (count a) / (count b) * words, of words of at least ``min_count``."""
-    uni = unigrams(lines)
+    uni = stage(unigrams(lines), "unigrams")
     words = uni.agg(F.sum("n").alias("words"))
     frequent = uni.where(F.col("n") >= min_count)
     pairs = bigrams(lines, cross_line)

@@ -131,10 +131,12 @@ class Kernel:
 def _add(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, grads: np.ndarray, use: np.ndarray) -> None:
     """Add gradients; a row hit more than four times in one step takes four times the mean, so that a step stays bounded."""
     rows, grads = rows[use], grads[use]
-    n = np.bincount(rows, minlength=len(w))
-    damp = 1 / np.maximum(1.0, n[rows] / 4)
-    np.add.at(w, rows, (grads * damp[:, None]).astype(w.dtype))
-    seen += n
+    hit, inverse, n = np.unique(rows, return_inverse=True, return_counts=True)
+    damp = 1 / np.maximum(1.0, n / 4)
+    total = np.zeros((len(hit), grads.shape[1]), w.dtype)
+    np.add.at(total, inverse, grads)
+    w[hit] += (total * damp[:, None]).astype(w.dtype)
+    seen[hit] += n
 
 
 def encode(lines: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -203,17 +205,19 @@ def _epoch(encoded, counts, opt, sent, codes, epoch, w_in, w_out):
                 yield _changes(which, r, (w[r] - old[r]), seen[r])
         yield _changes(2, np.zeros(1, np.int64), np.array([[k.loss]]), np.array([max(1, k.pairs)]))
 
-    changed = encoded.select("corpus", "ids").mapInArrow(run, "which int, row bigint, delta array<float>, n bigint")
+    # a task trains on one corpus after the other; even tasks begin with the first, odd ones with the second
+    turns = encoded.select("corpus", "ids").sortWithinPartitions(F.expr("pmod(corpus + spark_partition_id(), 2)"))
+    changed = turns.mapInArrow(run, "which int, row bigint, delta array<float>, n bigint")
 
     def average(t):
-        n, d = t["n"].to_numpy().astype(np.float64), np.array(t["delta"].to_pylist(), np.float64)
+        n, d = t["n"].to_numpy().astype(np.float64), _numbers(t["delta"]).astype(np.float64)
         row = t["row"].to_numpy()
         order = np.unique(row)
         at = np.searchsorted(order, row)
         total = np.bincount(at, n, len(order))
         out = np.zeros((len(order), d.shape[1]))
         np.add.at(out, at, d * (1.0 if t["which"][0].as_py() == 2 else (n / total[at])[:, None]))
-        return pa.table([pa.array([t["which"][0].as_py()] * len(order), pa.int32()), pa.array(order), pa.array(out.tolist(), pa.list_(pa.float32())), pa.array(total.astype(np.int64))], names=["which", "row", "delta", "n"])
+        return pa.table([pa.array([t["which"][0].as_py()] * len(order), pa.int32()), pa.array(order), _lists(out), pa.array(total.astype(np.int64))], names=["which", "row", "delta", "n"])
 
     # as many rows as the matrices have, which every worker holds anyway
     merged = changed.withColumn("block", F.col("row") % 64).groupBy("which", "block").applyInArrow(lambda t: average(t), "which int, row bigint, delta array<float>, n bigint").toArrow()
@@ -226,13 +230,23 @@ def _epoch(encoded, counts, opt, sent, codes, epoch, w_in, w_out):
             loss = float(part["delta"][0].as_py()[0]) / part["n"][0].as_py()
             continue
         w = (w_in, w_out)[which]
-        w[part["row"].to_numpy()] += np.array(part["delta"].to_pylist(), np.float32)
+        w[part["row"].to_numpy()] += _numbers(part["delta"])
     return w_in, w_out, loss
 
 
+def _numbers(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _lists(m: np.ndarray) -> pa.Array:
+    flat = np.ascontiguousarray(m, np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.reshape(-1)))
+
+
 def _changes(which: int, rows: np.ndarray, delta: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([which] * len(rows), pa.int32()), pa.array(rows.astype(np.int64)), pa.array(delta.astype(np.float32).tolist(), pa.list_(pa.float32())), pa.array(n.astype(np.int64))],
+        [pa.array([which] * len(rows), pa.int32()), pa.array(rows.astype(np.int64)), _lists(delta), pa.array(n.astype(np.int64))],
         names=["which", "row", "delta", "n"],
     )
 
@@ -242,7 +256,7 @@ def as_vectors(vocab: DataFrame, matrices: dict[str, np.ndarray]) -> DataFrame:
     spark = vocab.sparkSession
     parts = []
     for name, m in matrices.items():
-        t = pa.table([pa.array([name] * len(m)), pa.array(np.arange(len(m))), pa.array(m.astype(float).tolist(), pa.list_(pa.float64()))], names=["model", "idx", "vector"])
+        t = pa.table([pa.array([name] * len(m)), pa.array(np.arange(len(m))), _lists(m).cast(pa.list_(pa.float64()))], names=["model", "idx", "vector"])
         parts.append(spark.createDataFrame(t))
     out = parts[0]
     for p in parts[1:]:

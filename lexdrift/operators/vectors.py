@@ -1,8 +1,8 @@
 """Vectors of words: comparison across models, neighbours, analogies, predictions.
 
 Comparisons of a stated set of queries with all rows run on a grid of blocks: queries and rows are spread
-over blocks of bounded size, every pair of blocks is one task-sized product, and only the best of each
-block and its sums are kept. Nothing of size queries x rows is ever stored unless the caller asks for it.
+over blocks of bounded and equal size, which keeps the copies of both few, every pair of blocks is one task,
+whose product is made piece by piece, and only the best of each block and its sums are kept. Nothing of size queries x rows is ever stored unless the caller asks for it.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexdrift.functions import vector as V
 
-QUERY_BLOCK, ROW_BLOCK = 2_000, 16_000
+QUERY_BLOCK, ROW_BLOCK, CELLS = 16_000, 16_000, 8_000_000  # the last: numbers of a product that are held at once
 
 
 def compare_models(vectors: DataFrame, a: str = "good", b: str = "bad") -> DataFrame:
@@ -59,21 +59,21 @@ def top_products(queries: DataFrame, rows: DataFrame, k: int, digits: int = 6, p
     def best(q, x):
         out: list[list] = [[], [], []]
         if q.num_rows and x.num_rows:
-            ids, idx = q["qid"].to_numpy(), x["x_idx"].to_numpy()
+            ids, idx, skips, asked = q["qid"].to_numpy(), x["x_idx"].to_numpy(), q["skip"].to_pylist(), _matrix(q["vec"])
             order = np.argsort(idx, kind="stable")
             idx, m = idx[order], _matrix(x["x_vec"])[order]
-            s = np.round(_matrix(q["vec"]) @ m.T, digits)
-            for i, skip in enumerate(q["skip"].to_pylist()):
-                row = s[i]
-                if skip:
-                    row[np.isin(idx, skip)] = -np.inf
-                if positive:
-                    row[row <= 0] = -np.inf
-                take = np.argsort(-row, kind="stable")[:k] if len(row) <= 4 * k else _largest(row, k)
-                take = take[np.isfinite(row[take])]
-                out[0] += [ids[i]] * len(take)
-                out[1] += idx[take].tolist()
-                out[2] += row[take].tolist()
+            for at in _pieces(len(ids), len(idx)):
+                s = np.round(asked[at] @ m.T, digits)
+                for i, row, skip in zip(ids[at], s, skips[at]):
+                    if skip:
+                        row[np.isin(idx, skip)] = -np.inf
+                    if positive:
+                        row[row <= 0] = -np.inf
+                    take = np.argsort(-row, kind="stable")[:k] if len(row) <= 4 * k else _largest(row, k)
+                    take = take[np.isfinite(row[take])]
+                    out[0] += [i] * len(take)
+                    out[1] += idx[take].tolist()
+                    out[2] += row[take].tolist()
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["qid", "idx", "score"])
 
     met = _grid(queries, rows, query_block, row_block).applyInArrow(best, "qid bigint, idx bigint, score double")
@@ -81,6 +81,11 @@ def top_products(queries: DataFrame, rows: DataFrame, k: int, digits: int = 6, p
     return met.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
+def _pieces(queries: int, rows: int) -> list[slice]:
+    step = max(1, CELLS // max(1, rows))
+    return [slice(a, a + step) for a in range(0, queries, step)]
+
+
 def _largest(row: np.ndarray, k: int) -> np.ndarray:
     """The k largest, lower positions first among equals."""
     bound = np.partition(row, len(row) - k)[len(row) - k]
@@ -100,6 +105,10 @@ def product_rows(queries: DataFrame, rows: DataFrame, digits: int = 6) -> DataFr
     return _grid(queries.select("qid", "vec"), rows, 200, 4000).applyInArrow(full, "qid bigint, idx bigint, score double")
 
 
+def _weights(s: np.ndarray, clamp: bool) -> np.ndarray:
+    return np.where(s > 6, 1.0, np.where(s < -6, 0.0, np.exp(np.clip(s, -6, 6)))) if clamp else np.exp(s)
+
+
 def weight_sums(queries: DataFrame, rows: DataFrame, clamp: bool = True) -> DataFrame:
     """``(qid, z, z2)``: sums of the weights exp(dot) and of their squares over all rows; the softmax's denominators.
 
@@ -109,38 +118,39 @@ def weight_sums(queries: DataFrame, rows: DataFrame, clamp: bool = True) -> Data
     def sums(q, x):
         if not q.num_rows or not x.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.float64(), pa.float64())], names=["qid", "z", "z2"])
-        s = _matrix(q["vec"]) @ _matrix(x["x_vec"]).T
-        w = np.where(s > 6, 1.0, np.where(s < -6, 0.0, np.exp(np.clip(s, -6, 6)))) if clamp else np.exp(s)
-        return pa.table([q["qid"].combine_chunks(), pa.array(w.sum(1)), pa.array((w * w).sum(1))], names=["qid", "z", "z2"])
+        asked, m, z, z2 = _matrix(q["vec"]), _matrix(x["x_vec"]).T, [], []
+        for at in _pieces(q.num_rows, x.num_rows):
+            w = _weights(asked[at] @ m, clamp)
+            z.append(w.sum(1)), z2.append((w * w).sum(1))
+        return pa.table([q["qid"].combine_chunks(), pa.array(np.concatenate(z)), pa.array(np.concatenate(z2))], names=["qid", "z", "z2"])
 
-    parts = _grid(queries.select("qid", "vec"), rows, QUERY_BLOCK, 4000).applyInArrow(sums, "qid bigint, z double, z2 double")
+    parts = _grid(queries.select("qid", "vec"), rows, QUERY_BLOCK, ROW_BLOCK).applyInArrow(sums, "qid bigint, z double, z2 double")
     return parts.groupBy("qid").agg(F.sum("z").alias("z"), F.sum("z2").alias("z2"))
 
 
 def predictions(queries: DataFrame, rows: DataFrame, k: int = 40, clamp: bool = True) -> DataFrame:
     """``(qid, idx, p, rank)``: the k most probable contexts of every query, p = weight / sum of weights.
 
-    The weight grows with the dot product except beyond the clamp, where it falls to 1, so the clamped
-    order is found among the best below the bound and, if those do not suffice, the rest.
+    One product gives both: every block of rows returns its best contexts and, as context -1, its sum of weights.
     """
 
     def best(q, x):
         out: list[list] = [[], [], []]
         if q.num_rows and x.num_rows:
-            ids, idx = q["qid"].to_numpy(), x["x_idx"].to_numpy()
+            ids, idx, asked = q["qid"].to_numpy(), x["x_idx"].to_numpy(), _matrix(q["vec"])
             order = np.argsort(idx, kind="stable")
-            idx, s = idx[order], _matrix(q["vec"]) @ _matrix(x["x_vec"])[order].T
-            w = np.where(s > 6, 1.0, np.where(s < -6, 0.0, np.exp(np.clip(s, -6, 6)))) if clamp else np.exp(s)
-            for i in range(len(ids)):
-                take = _largest(w[i], k) if len(idx) > k else np.argsort(-w[i], kind="stable")
-                out[0] += [ids[i]] * len(take)
-                out[1] += idx[take].tolist()
-                out[2] += w[i][take].tolist()
+            idx, m = idx[order], _matrix(x["x_vec"])[order].T
+            for at in _pieces(len(ids), len(idx)):
+                for i, w in zip(ids[at], _weights(asked[at] @ m, clamp)):
+                    take = _largest(w, k) if len(idx) > k else np.argsort(-w, kind="stable")
+                    out[0] += [i] * (len(take) + 1)
+                    out[1] += [*idx[take].tolist(), -1]
+                    out[2] += [*w[take].tolist(), float(w.sum())]
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["qid", "idx", "w"])
 
-    top = _grid(queries.select("qid", "vec"), rows, QUERY_BLOCK, 4000).applyInArrow(best, "qid bigint, idx bigint, w double")
-    z = weight_sums(queries, rows, clamp)
-    scored = top.join(z, "qid").select("qid", "idx", F.round(F.col("w") / F.col("z"), 9).alias("p"))
+    met = _grid(queries.select("qid", "vec"), rows, QUERY_BLOCK, ROW_BLOCK).applyInArrow(best, "qid bigint, idx bigint, w double")
+    z = F.sum(F.when(F.col("idx") == -1, F.col("w"))).over(Window.partitionBy("qid"))
+    scored = met.withColumn("z", z).where("idx >= 0").select("qid", "idx", F.round(F.col("w") / F.col("z"), 9).alias("p"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("p"), "idx")).cast("bigint")).where(F.col("rank") <= k)
 
 

@@ -7,6 +7,8 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexdrift.operators.order import numbered
+
 END = "</s>"
 
 
@@ -25,11 +27,7 @@ def indexed(counts: DataFrame, min_count: int = 5) -> DataFrame:
     The numbers come from a sort by ranges and the sizes of its partitions, not from one task.
     """
     kept = counts.where((F.col("cn") >= min_count) | (F.col("word") == END))
-    ordered = kept.orderBy((F.col("word") != END), F.col("cn").desc(), "word").withColumn("part", F.spark_partition_id())
-    # the running total over partitions is as long as there are partitions
-    local = ordered.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy((F.col("word") != END), F.col("cn").desc(), "word")))
-    sizes = local.groupBy("part").agg(F.max("at").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(sizes.select("part", "before")), "part").select((F.col("before") + F.col("at") - 1).cast("bigint").alias("idx"), "word", "cn", "gcn", "bcn")
+    return numbered(kept, "idx", F.col("word") != END, F.col("cn").desc(), F.col("word")).select("idx", "word", "cn", "gcn", "bcn")
 
 
 def common(counts: DataFrame) -> DataFrame:

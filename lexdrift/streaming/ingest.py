@@ -30,21 +30,23 @@ def windowed_tokens(stream: DataFrame, time: str, text: str, width: str = "7 day
     return sized.groupBy(F.window(time, width).alias("w"), "forum").agg(F.count("*").alias("posts"), F.sum("n").alias("tokens")).select(F.col("w.start").alias("start"), "forum", "posts", "tokens")
 
 
-def run_available(counts: DataFrame, name: str = "tokens") -> DataFrame:
-    """Run a stream over what is there, and give the last state of its counts.
+def run_available(counts: DataFrame, keys: tuple[str, ...] = ("start", "forum"), name: str = "tokens") -> DataFrame:
+    """Run a stream over what is there, and give the last counts of every key.
 
-    Every batch replaces the table of the batch before in the shared folder, so a batch that is repeated
-    after a failure leaves the same table.
+    The state of windows that the watermark has passed is dropped. Every batch writes the keys that changed in it
+    to a table of its own in the shared folder, so a batch that is repeated after a failure leaves the same
+    table; of a key the row of its last batch counts.
     """
     spark = counts.sparkSession
     root = f"{shared_dir(spark).rstrip('/')}/lexdrift-stream-{name}-{uuid.uuid4().hex}"
-    last: dict[str, str] = {}
 
     def keep(df: DataFrame, epoch: int) -> None:
-        last["path"] = f"{root}/out-{epoch}"
-        df.write.mode("overwrite").parquet(last["path"])
+        df.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{root}/out/batch={epoch}")
 
-    q = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    q = counts.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    schema = counts.schema
-    return spark.read.schema(schema).parquet(last["path"]) if last else spark.createDataFrame([], schema)
+    if not q.lastProgress:
+        return spark.createDataFrame([], counts.schema)
+    out = spark.read.parquet(f"{root}/out")
+    last = out.groupBy(*keys).agg(*(F.max_by(c, "epoch").alias(c) for c in counts.columns if c not in keys))
+    return last.select(*counts.columns)
