@@ -93,6 +93,14 @@ def missed_explained(cands: DataFrame, marks: DataFrame, vectors: DataFrame, cou
     return explained(missed(cands, marks, vectors, counts).join(words, "word", "left"), vectors, counts, k, least)
 
 
+def panels(report: DataFrame) -> DataFrame:
+    """``(measure, word, x, y)``: the points of three panels of ``report(word, good_occurrence, bhattacharyya, cosine)``, without those that are not finite."""
+    finite = lambda *cs: " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in cs)
+    point = lambda name, x, y, *need: report.where(finite(*need)).select(F.lit(name).alias("measure"), "word", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    first = point("bhattacharyya", "bhattacharyya", "good_occurrence", "bhattacharyya", "cosine")
+    return first.union(point("cosine", "cosine", "good_occurrence", "cosine")).union(point("both", "cosine", "bhattacharyya", "bhattacharyya", "cosine"))
+
+
 def dated_tokens(tokens: DataFrame, dates: DataFrame, more_than: int = 3) -> DataFrame:
     """``(token, thread, start_date, end_date)``: tokens of threads of more than ``more_than`` distinct tokens, with the thread's dates.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DARK, WHITE = ["nulled", "hackforums", "darkode"], ["reddit"]
+FORUMS = ["nulled", "hackforums", "darkode", "silkroad_fts", "reddit"]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:

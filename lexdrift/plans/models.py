@@ -66,14 +66,22 @@ _PLAN = r"""w AS (SELECT line_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t
 c AS (SELECT word, count(*) AS n FROM w GROUP BY word), chosen AS (SELECT word, n FROM c WHERE n > 250 ORDER BY md5(word || ':1'), word LIMIT 10),
 plan AS (SELECT x.word, x.n, c.word AS target, c.n AS target_n FROM chosen x JOIN c ON c.n >= x.n / 10.0 AND c.n <= x.n * 10.0 AND c.word NOT IN (SELECT word FROM chosen)
   QUALIFY row_number() OVER (PARTITION BY x.word ORDER BY md5(x.word || ':' || c.word || ':1'), c.word) = 1)"""
+_KMEANS_START = """v AS (SELECT DISTINCT ON (idx) idx, CAST(vector AS DOUBLE[]) AS vec FROM syn0
+  WHERE model = 'good' AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+a0 AS (SELECT idx, idx % 5 AS class FROM v)"""
+
+
+def _kmeans_round(i: int, classes: int) -> str:
+    """Centres of the classes so far, and the class of the nearest of them."""
+    return f"""s{i} AS MATERIALIZED (SELECT class, i, sum(x) AS x FROM (SELECT class, generate_subscripts(vec, 1) AS i, unnest(vec) AS x FROM v JOIN a{i} USING (idx)) GROUP BY ALL),
+l{i} AS MATERIALIZED (SELECT class, list(x ORDER BY i) AS s FROM s{i} GROUP BY class), c{i} AS MATERIALIZED (SELECT class, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) AS c FROM l{i}),
+a{i + 1} AS MATERIALIZED (SELECT idx, class FROM v, c{i} QUALIFY row_number() OVER (PARTITION BY idx ORDER BY list_dot_product(vec, c) DESC, class) = 1)"""
+
+
 ORACLES = {
     "shift_plan": f"WITH {_PLAN} SELECT * FROM plan",
     "simulate_shift": f"""WITH {_PLAN} SELECT line_id, string_agg(CASE WHEN target IS NOT NULL AND CAST('0x' || substr(md5(line_id || ':' || pos || ':1'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.5 THEN target ELSE w.word END, ' ' ORDER BY pos) AS line
 FROM w LEFT JOIN plan ON w.word = plan.word GROUP BY line_id""",
-    "kmeans_first_round": """WITH v AS (SELECT DISTINCT ON (idx) idx, CAST(vector AS DOUBLE[]) AS vec FROM syn0
-  WHERE model = 'good' AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
-s AS (SELECT idx % 5 AS k, i, sum(x) AS x FROM (SELECT idx, generate_subscripts(vec, 1) AS i, unnest(vec) AS x FROM v) GROUP BY ALL),
-c AS (SELECT k, list(x ORDER BY i) AS s FROM s GROUP BY k), cent AS (SELECT k, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) AS c FROM c),
-a AS (SELECT idx, k AS class FROM v, cent QUALIFY row_number() OVER (PARTITION BY idx ORDER BY list_dot_product(vec, c) DESC, k) = 1)
-SELECT CAST(class AS BIGINT) AS class, count(*) AS members, min(idx) AS first, CAST(sum(idx) AS BIGINT) AS total FROM a GROUP BY class""",
+    "kmeans_first_round": f"WITH {_KMEANS_START}, {_kmeans_round(0, 5)} SELECT CAST(class AS BIGINT) AS class, count(*) AS members, min(idx) AS first, CAST(sum(idx) AS BIGINT) AS total FROM a1 GROUP BY class",
+    "kmeans_classes": f"WITH {_KMEANS_START.replace('% 5', '% 20')}, {', '.join(_kmeans_round(i, 20) for i in range(10))} SELECT idx, CAST(class AS BIGINT) AS class FROM a10",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexdrift.functions import text as T
-from lexdrift.plans.common import table, threads
+from lexdrift.plans.common import FORUMS, table, threads
 
 STOP_SQL = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS) + ")"
 
@@ -37,30 +37,30 @@ def hash_masks(spark, d):
 
 
 def mask_counts(spark, d):
-    """Mask tokens of each kind per forum; no SQL: word borders beside letters of other scripts differ between dialects."""
-    rows = threads(spark, d, ["nulled", "reddit", "hackforums"], "row_id", F.explode("comments").alias("c")).select("forum", T.mask(F.lower("c")).alias("m"))
+    """Mask tokens of each kind per board."""
+    rows = table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), T.mask(F.lower("text")).alias("m"))
     count = lambda t: F.sum(F.size(F.split("m", t)) - 1).cast("bigint")
-    return rows.groupBy("forum").agg(count("EMAIL__TOKEN").alias("emails"), count("URL__TOKEN").alias("urls"), count("HASH__TOKEN").alias("hashes"))
+    return rows.where("m is not null").groupBy("source").agg(count("EMAIL__TOKEN").alias("emails"), count("URL__TOKEN").alias("urls"), count("HASH__TOKEN").alias("hashes"))
 
 
 def pure_texts(spark, d):
-    rows = threads(spark, d, ["nulled", "darkode"], "row_id", "title", "comments", "authors")
+    rows = threads(spark, d, FORUMS, "row_id", "title", "comments", "authors")
     return rows.select("forum", "row_id", F.array_join(T.pure_tokens(F.col("title"), F.col("comments"), F.col("authors")), " ").alias("texts"))
 
 
 def simple_texts(spark, d):
-    return table(spark, d, "darkode").select("row_id", F.array_join(T.simple_tokens(F.col("title"), F.col("comments")), " ").alias("texts"))
+    return threads(spark, d, FORUMS, "row_id", "title", "comments").select("forum", "row_id", F.array_join(T.simple_tokens(F.col("title"), F.col("comments")), " ").alias("texts"))
 
 
 def sentence_tokens(spark, d):
-    rows = table(spark, d, "darkode").select("row_id", F.posexplode(T.sentence_tokens(F.col("comments"))).alias("comment_ix", "sentences"))
-    return rows.select("row_id", F.col("comment_ix").cast("bigint").alias("comment_ix"), F.posexplode("sentences").alias("sent_ix", "tokens")).select(
-        "row_id", "comment_ix", F.col("sent_ix").cast("bigint").alias("sent_ix"), F.array_join("tokens", " ").alias("tokens")
+    rows = threads(spark, d, FORUMS, "row_id", "comments").select("forum", "row_id", F.posexplode(T.sentence_tokens(F.col("comments"))).alias("comment_ix", "sentences"))
+    return rows.select("forum", "row_id", F.col("comment_ix").cast("bigint").alias("comment_ix"), F.posexplode("sentences").alias("sent_ix", "tokens")).select(
+        "forum", "row_id", "comment_ix", F.col("sent_ix").cast("bigint").alias("sent_ix"), F.array_join("tokens", " ").alias("tokens")
     )
 
 
 def prose_threads(spark, d):
-    rows = threads(spark, d, ["hackforums", "darkode"], "row_id", T.prose(F.col("comments")).alias("texts"))
+    rows = threads(spark, d, FORUMS, "row_id", T.prose(F.col("comments")).alias("texts"))
     return rows.where(F.length("texts") > 100)
 
 
@@ -131,15 +131,65 @@ def _pgp_sql() -> str:
 
 
 _HASHED = r"regexp_replace(lower(c), '\b[a-f0-9]{32}\b|\b[a-f0-9]{40}\b|\b[a-f0-9]{64}\b', 'HASH__TOKEN ', 'g')"
+def _sql_regex(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _masked_sql(column: str) -> str:
+    for pattern, token in ((T.EMAIL, T.EMAIL_TOKEN), (T.URL, T.URL_TOKEN), (T.HASH, T.HASH_TOKEN)):
+        column = f"regexp_replace({column}, '{_sql_regex(pattern)}', '{token}', 'g')"
+    return column
+
+
+def deaccent_sql(column: str) -> str:
+    return rf"regexp_replace(translate({column}, '{T.accent_map()[0]}', '{T.accent_map()[1]}'), '\p{{Mn}}', '', 'g')"
+
+
+_FLAT = "coalesce(array_to_string(list_transform(list_filter(comments, lambda c: c IS NOT NULL), lambda c: replace(c, chr(10), ' ')), chr(10)), '')"
+
+
+def forums_sql(columns: str, names: list[str] = FORUMS) -> str:
+    return " UNION ALL ".join(f"SELECT '{f}' AS forum, {columns} FROM {f}" for f in names)
+
+
+def _unescaped_sql(column: str) -> str:
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("nbsp", "\u00a0"), ("amp", "&")):
+        column = f"replace({column}, '&{name};', '{char}')"
+    return column
+
+
+def sentences_sql(names: list[str]) -> str:
+    """Common table ``t(forum, row_id, i, s)``: the sentences of each kept comment, as lists of tokens."""
+    return rf"""c AS (SELECT forum, row_id, generate_subscripts(comments, 1) AS i, unnest(comments) AS c FROM ({forums_sql('row_id, comments', names)})),
+l AS (SELECT forum, row_id, i, string_split(regexp_replace(regexp_replace({_masked_sql('lower(trim(c))')}, '[\n\r\x0B\f\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(10), 'g'), chr(10)) AS s FROM c WHERE {_KEPT}),
+t AS (SELECT forum, row_id, i, list_filter(list_transform(s, lambda x: list_filter(list_transform(list_filter(regexp_extract_all({deaccent_sql('x')}, '[\p{{L}}\p{{N}}_-]+'),
+  lambda t: NOT regexp_full_match(t, '\p{{Nd}}+') AND length(t) > 1 AND t NOT IN {STOP_SQL}), lambda t: trim(t, '-_ ')), lambda t: t <> '')), lambda x: len(x) > 0) AS s FROM l)"""
+
+
+_KEPT = "c IS NOT NULL AND (i <= 2 OR length(trim(c)) >= 20)"
 ORACLES = {
+    "mask_counts": f"""WITH m AS (SELECT coalesce(source, 'none') AS source, {_masked_sql('lower(text)')} AS m FROM documents WHERE text IS NOT NULL)
+SELECT source, CAST(sum(len(string_split(m, 'EMAIL__TOKEN')) - 1) AS BIGINT) AS emails, CAST(sum(len(string_split(m, 'URL__TOKEN')) - 1) AS BIGINT) AS urls, CAST(sum(len(string_split(m, 'HASH__TOKEN')) - 1) AS BIGINT) AS hashes FROM m GROUP BY source""",
+    "pure_texts": rf"""WITH r AS ({forums_sql('row_id, title, comments, authors')}),
+t AS (SELECT forum, row_id, authors, regexp_extract_all({deaccent_sql(_masked_sql(f"lower(coalesce(title, '') || ' ' || {_FLAT})"))}, '[\p{{L}}\p{{Nl}}\p{{No}}_]+') AS t FROM r),
+n AS (SELECT forum, row_id, list_transform(t, lambda x: CASE WHEN list_contains(coalesce(authors, []), x) THEN 'AUTHOR__TOKEN' ELSE x END) AS t FROM t)
+SELECT forum, row_id, array_to_string(list_filter(list_transform(list_filter(t, lambda x: x NOT IN {STOP_SQL}), lambda x: trim(x, '_ ')), lambda x: x <> ''), ' ') AS texts FROM n""",
+    "prose_threads": rf"""WITH r AS ({forums_sql('row_id, comments')}),
+m AS (SELECT forum, row_id, list_transform(list_filter(comments, lambda c, i: {_KEPT}), lambda c: {_masked_sql('trim(c)')}) AS m FROM r),
+p AS (SELECT forum, row_id, array_to_string(list_filter(m, lambda c: NOT (length(c) > 200 AND length(regexp_replace(c, '[^(){{}}\[\].;"]', '', 'g')) / CAST(length(c) AS DOUBLE) > 0.05)), '.' || chr(10) || chr(10)) AS texts FROM m)
+SELECT * FROM p WHERE length(texts) > 100""",
+    "sentence_tokens": f"WITH {sentences_sql(FORUMS)} SELECT forum, row_id, CAST(i - 1 AS BIGINT) AS comment_ix, CAST(generate_subscripts(s, 1) - 1 AS BIGINT) AS sent_ix, array_to_string(unnest(s), ' ') AS tokens FROM t",
+    "page_text": r"""WITH c AS (SELECT row_id, generate_subscripts(raw_comments, 1) - 1 AS i, unnest(raw_comments) AS c FROM hackforums),
+p AS (SELECT row_id, i, list_filter(string_split_regex(regexp_replace(c, '<code\b[^>]*>.*?</code>', '<x>', 'gs'), '<[a-zA-Z/!][^>]*>'), lambda x: x <> '') AS p FROM c WHERE c IS NOT NULL)
+SELECT row_id, CAST(i AS BIGINT) AS comment_ix, html_unescape(array_to_string(p, ' ')) AS text FROM p""".replace("html_unescape(array_to_string(p, ' '))", _unescaped_sql("array_to_string(p, ' ')")),
     "word_count": r"SELECT forum, token, count(*) AS n FROM (SELECT forum, unnest(regexp_extract_all(texts, '\S+')) AS token FROM dark_texts) GROUP BY ALL",
     "alphabetic_tokens": r"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(c), '[\p{L}\p{Nl}\p{No}_]+')) AS token FROM (SELECT unnest(comments) AS c FROM reddit)) GROUP BY ALL",
     "stopword_free_count": rf"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nl}}\p{{No}}_]+')) AS token FROM documents WHERE lang = 'en') WHERE token NOT IN {STOP_SQL} GROUP BY ALL",
     "deaccent_tokens": rf"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(translate(lower(text), '{T.accent_map()[0]}', '{T.accent_map()[1]}'), '\p{{Mn}}', '', 'g'), '[\p{{L}}\p{{N}}_-]+')) AS token FROM documents) GROUP BY ALL",
     "hash_masks": f"""WITH r AS (SELECT 'nulled' AS forum, unnest(comments) AS c FROM nulled UNION ALL SELECT 'reddit', unnest(comments) FROM reddit)
 SELECT forum, CAST(sum(n) AS BIGINT) AS hashes FROM (SELECT forum, len(string_split({_HASHED}, 'HASH__TOKEN')) - 1 AS n FROM r) WHERE n > 0 GROUP BY forum""",
-    "simple_texts": rf"""SELECT row_id, array_to_string(list_filter(regexp_extract_all(regexp_replace(strip_accents(lower(coalesce(title, '') || ' ' || coalesce(replace(array_to_string(comments, ' '), chr(10), ' '), ''))), '\p{{Mn}}', '', 'g'),
-  '[\p{{L}}\p{{Nl}}\p{{No}}_]+'), lambda t: t NOT IN {STOP_SQL}), ' ') AS texts FROM darkode""",
+    "simple_texts": rf"""WITH r AS ({forums_sql('row_id, title, comments')}) SELECT forum, row_id, array_to_string(list_filter(regexp_extract_all(
+  {deaccent_sql("lower(coalesce(title, '') || ' ' || coalesce(replace(array_to_string(comments, ' '), chr(10), ' '), ''))")}, '[\p{{L}}\p{{Nl}}\p{{No}}_]+'), lambda t: t NOT IN {STOP_SQL}), ' ') AS texts FROM r""",
     "code_ratio": r"""SELECT row_id, CAST(ix AS BIGINT) AS comment_ix, round(length(regexp_replace(c, '[^(){}\[\].;"]', '', 'g')) / CAST(length(c) AS DOUBLE), 9) AS share
 FROM (SELECT row_id, generate_subscripts(raw_comments, 1) - 1 AS ix, unnest(raw_comments) AS c FROM nulled) WHERE length(c) > 0""",
     "cut_between_markers": f"SELECT row_id, {_cut_sql('texts', 'price is', 'included')} AS texts FROM hackforums WHERE texts IS NOT NULL",

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lexdrift.operators import parsing as P
 from lexdrift.operators import threads as O
-from lexdrift.plans.common import DARK, WHITE, table, threads
+from lexdrift.plans.common import DARK, FORUMS, WHITE, table, threads
+from lexdrift.plans.text import deaccent_sql
 
 
 def _posts(spark, d, names=("nulled", "darkode")):
@@ -56,7 +57,7 @@ def page_filter(spark, d):
 
 
 def search_index(spark, d):
-    return O.inverted_index(table(spark, d, "darkode")).select("token", "row_id", F.col("comment_ix").cast("bigint").alias("comment_ix"))
+    return O.inverted_index(threads(spark, d, FORUMS, "row_id", "comments")).select("token", "row_id", F.col("comment_ix").cast("bigint").alias("comment_ix"))
 
 
 def sentence_search(spark, d):
@@ -80,7 +81,13 @@ def board_pages(spark, d):
 QUERIES = [thread_assembly, post_user_left_join, posts_topics_inner_join, title_full_outer, upsert_latest, upsert_by_url, page_filter, search_index, sentence_search, page_text, board_pages]
 
 _ALL = " UNION ALL ".join(f"SELECT '{f}' AS forum, unnest(comments) AS c FROM {f}" for f in DARK + WHITE)
-_TOKENS = r"regexp_extract_all(regexp_replace(strip_accents(lower({})), '\p{{Mn}}', '', 'g'), '[\p{{L}}\p{{N}}_-]+')"
+_WORDS = r"'[\p{L}\p{N}_-]+'"
+
+
+def _tokens(column: str) -> str:
+    return f"regexp_extract_all({deaccent_sql(f'lower({column})')}, {_WORDS})"
+
+
 ORACLES = {
     "thread_assembly": f"""WITH {_POSTS} SELECT thread_id, array_to_string(list(coalesce(body, '') ORDER BY seq, coalesce(body, '')), '|') AS comments,
   coalesce(array_to_string(list_sort(list(DISTINCT lower(author)) FILTER (WHERE author <> '')), '|'), '') AS authors FROM posts GROUP BY thread_id""",
@@ -94,10 +101,10 @@ SELECT forum || ':' || tid AS key, row_id, title FROM r WHERE tid IS NOT NULL QU
     "upsert_by_url": "SELECT url, row_id, title FROM reddit WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC NULLS LAST, row_id DESC) = 1",
     "page_filter": """WITH r AS (SELECT 'reddit' AS forum, row_id, url FROM reddit UNION ALL SELECT 'silkroad_fts', row_id, url FROM silkroad_fts)
 SELECT forum, row_id, starts_with(url, 'http') AS prefixed, url NOT LIKE '%page%' AS no_paging FROM r WHERE starts_with(url, 'http') OR url NOT LIKE '%page%'""",
-    "search_index": f"""SELECT DISTINCT token, row_id, comment_ix FROM (SELECT row_id, comment_ix, unnest({_TOKENS.format('c')}) AS token
-  FROM (SELECT row_id, CAST(generate_subscripts(comments, 1) - 1 AS BIGINT) AS comment_ix, unnest(comments) AS c FROM darkode))""",
+    "search_index": f"""SELECT DISTINCT token, row_id, comment_ix FROM (SELECT row_id, comment_ix, unnest({_tokens('c')}) AS token
+  FROM (SELECT row_id, CAST(generate_subscripts(comments, 1) - 1 AS BIGINT) AS comment_ix, unnest(comments) AS c FROM ({' UNION ALL '.join(f'SELECT row_id, comments FROM {f}' for f in FORUMS)})))""",
     "sentence_search": f"""WITH words AS (SELECT word FROM goodbad_vocab WHERE word IS NOT NULL GROUP BY word HAVING sum(bcn) > 0),
-lines AS (SELECT forum, unnest(string_split(c, chr(10))) AS line FROM ({_ALL})), tokens AS (SELECT DISTINCT forum, line, unnest({_TOKENS.format('line')}) AS word FROM lines)
+lines AS (SELECT forum, unnest(string_split(c, chr(10))) AS line FROM ({_ALL})), tokens AS (SELECT DISTINCT forum, line, unnest({_tokens('line')}) AS word FROM lines)
 SELECT word, forum, count(DISTINCT line) AS lines FROM tokens SEMI JOIN words USING (word) GROUP BY word, forum""",
     "board_pages": """SELECT row_id, coalesce(title, '') AS title, CAST(generate_subscripts(r, 1) - 1 AS BIGINT) AS ix, unnest(r) AS raw
 FROM (SELECT row_id, title, list_filter(raw_comments, lambda c: c IS NOT NULL) AS r FROM hackforums WHERE raw_comments IS NOT NULL)""",

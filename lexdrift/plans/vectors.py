@@ -10,7 +10,8 @@ from lexdrift.functions import vector as V
 from lexdrift.operators import evaluation as E
 from lexdrift.operators import phrases as P
 from lexdrift.operators import vectors as X
-from lexdrift.plans.common import SQL_VECTORS, table, vectors
+from lexdrift.plans.common import SQL_COUNTS, SQL_VECTORS, table, vectors, word_counts
+from lexdrift.session import stage
 
 LONG = 1000  # predictions of a word that are compared; the queries with SQL of 100 keep theirs
 _JACS = [f"jac{k}_{a}" for k in (40, 100, LONG) for a in ("gb", "bb")]
@@ -136,6 +137,11 @@ def prediction_correlation(spark, d):
     return E.rank_correlation(lists, "gb", "gg").select("qid", F.round("correlation", 6).alias("correlation"), F.round("pvalue", 6).alias("pvalue"))
 
 
+def prediction_rho(spark, d):
+    """The rank correlations alone, without their p-values, which SQL has no function for."""
+    return prediction_correlation(spark, d).select("qid", "correlation")
+
+
 def _spread(v, k):
     p = X.predictions(_queries(_raw(v, "bad")), _raw(v, "good"), k, clamp=False)
     return p.groupBy("qid").agg(F.round(F.stddev_pop("p"), 8).alias("prob_std"))
@@ -155,8 +161,42 @@ def observed_contexts(spark, d):
     return _observed(spark, d, vectors(spark, d)).withColumn("rank", rank).where("rank <= 40")
 
 
+def comparison_report(spark, d):
+    """The whole report of predicted against observed contexts, ready for ``writers.comparison_json``: counts, distances and the 40 best of both sides."""
+    v = stage(vectors(spark, d), "vectors")
+    counts, words = word_counts(spark, d), v.where("model = 'good'").select("idx", "word")
+    seen = stage(_observed(spark, d, v), "observed")
+    r = X.distribution_report(seen, _raw(v, "bad").where("idx % 20 = 0").withColumnRenamed("idx", "qid"), _raw(v, "good"))
+    predicted = X.predictions(_queries(_raw(v, "bad")), _raw(v, "good"), 40).where("p > 0").select("qid", "idx", "rank", F.col("p").alias("value"))
+    observed = seen.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n"), "idx"))).where("rank <= 40").select("qid", "idx", "rank", F.col("n").cast("double").alias("value"))
+    lists = None
+    for name, best in (("most_probable", predicted), ("most_occurred", observed)):
+        named = best.join(words, "idx").join(counts.select("word", "cn"), "word", "left")
+        pairs = F.transform(F.array_sort(F.collect_list(F.struct("rank", "word", "value", "cn"))), _entry)
+        listed = named.groupBy("qid").agg(F.map_from_entries(pairs).alias(name))
+        lists = listed if lists is None else lists.join(listed, "qid", "full")
+    named = r.join(words.withColumnRenamed("idx", "qid"), "qid").join(counts.select("word", "gcn", "bcn"), "word", "left").join(lists, "qid", "left")
+    return named.select("word", F.col("gcn").alias("good_occurrence"), F.col("bcn").alias("bad_occurrence"), F.round("bhattacharyya", 6).alias("bhattacharyya"), F.round(1 - F.col("cosine"), 6).alias("cosine"), "most_probable", "most_occurred")
+
+
+def _entry(x):
+    return F.struct(x["word"], F.array(x["value"], x["cn"].cast("double")))
+
+
+def comparison_lists(spark, d):
+    """The two lists of ``comparison_report`` as rows: side, word, context, value and count of the context."""
+    r = comparison_report(spark, d)
+    sides = [r.select(F.lit(side).alias("side"), "word", F.explode(side).alias("context", "x")) for side in ("most_probable", "most_occurred")]
+    return sides[0].union(sides[1]).select("side", "word", "context", F.round(F.get("x", F.lit(0)), 9).alias("value"), F.get("x", F.lit(1)).cast("bigint").alias("cn"))
+
+
+def plot_panels(spark, d):
+    """Points of the three panels of the plot, finite ones only: distances against occurrences and against one another."""
+    return E.panels(comparison_report(spark, d).select("word", "good_occurrence", "bhattacharyya", "cosine"))
+
+
 QUERIES = [
-    cross_model_cosine, vector_compare, vector_distances, knn, phrase_query_knn, cosine_matrix, cross_model_neighbours, analogy, analogy_accuracy, softmax_prediction, softmax_prediction_clamped,
+    prediction_rho, comparison_lists, plot_panels, cross_model_cosine, vector_compare, vector_distances, knn, phrase_query_knn, cosine_matrix, cross_model_neighbours, analogy, analogy_accuracy, softmax_prediction, softmax_prediction_clamped,
     distribution_compare, prediction_overlap, prediction_stats, prediction_correlation, prediction_spread,
     prediction_overlap_long, prediction_stats_long, prediction_spread_long, observed_contexts,
 ]
@@ -205,6 +245,19 @@ _OVERLAP = f"{_lists(100)}, o AS (SELECT gb.qid, {', '.join(_jac(a, k) for k in
 _OVERLAP_LONG = f"{_lists(LONG)}, o AS (SELECT gb.qid, {', '.join(_jac(a, k) for k in (40, 100, LONG) for a in ('gb', 'bb'))} FROM gb JOIN gg ON gb.qid = gg.qid JOIN bb ON gb.qid = bb.qid)"
 _ROOTS = "list_sum(list_transform(list_zip(a, b), lambda x: sqrt(abs(x[1]) * abs(x[2]))))"
 _SUM = "list_sum(list_transform({0}, lambda x: abs(x)))"
+_REPORT = rf"""WITH {SQL_VECTORS}, words AS (SELECT idx, word FROM vectors WHERE model = 'good'),
+w AS (SELECT line_id, generate_subscripts(t, 1) AS pos, unnest(t) AS word FROM (SELECT line_id, regexp_extract_all(texts, '\S+') AS t FROM dark_texts)),
+k AS (SELECT line_id, idx, row_number() OVER (PARTITION BY line_id ORDER BY pos) AS i FROM w JOIN words USING (word)),
+o AS (SELECT x.idx AS qid, y.idx, count(*) AS n FROM k x JOIN k y ON x.line_id = y.line_id AND x.i <> y.i AND abs(x.i - y.i) <= 5 AND (x.i - 1) // 1000 = (y.i - 1) // 1000 WHERE x.idx % 20 = 0 GROUP BY ALL),
+dots AS (SELECT q.idx AS qid, c.idx, list_dot_product(q.vector, c.vector) AS s FROM vectors q JOIN vectors c ON c.model = 'good' WHERE q.model = 'bad' AND q.idx % 20 = 0),
+ws AS (SELECT qid, idx, CASE WHEN s > 6 THEN 1.0::DOUBLE WHEN s < -6 THEN 0.0::DOUBLE ELSE exp(s) END AS w FROM dots),
+p AS (SELECT qid, idx, w / sum(w) OVER (PARTITION BY qid) AS p FROM ws), z AS (SELECT qid, sum(p * p) AS pp FROM p GROUP BY qid),
+report AS (SELECT o.qid, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS contexts, round(-ln(sum(sqrt(p * n)) / sqrt(sum(n))), 6) AS bhattacharyya, round(sum(p * n) / (sqrt(any_value(pp)) * sqrt(sum(n * n))), 6) AS cosine
+FROM o JOIN p ON o.qid = p.qid AND o.idx = p.idx JOIN z ON o.qid = z.qid GROUP BY o.qid)"""
+_NAMED = f"""{_REPORT}, {SQL_COUNTS},
+sides AS (SELECT 'most_probable' AS side, qid, idx, round(p, 9) AS value FROM p WHERE round(p, 9) > 0 AND qid IN (SELECT qid FROM report) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(p, 9) DESC, idx) <= 40
+  UNION ALL SELECT 'most_occurred', qid, idx, CAST(n AS DOUBLE) FROM o QUALIFY row_number() OVER (PARTITION BY qid ORDER BY n DESC, idx) <= 40),
+named AS (SELECT word, gcn AS good_occurrence, bhattacharyya AS bhattacharyya, round(1 - cosine_, 6) AS cosine FROM (SELECT r.*, w.word, r.cosine AS cosine_ FROM report r JOIN words w ON w.idx = r.qid) LEFT JOIN word_counts USING (word))"""
 ORACLES = {
     "cross_model_cosine": f"{_BOTH} SELECT word, idx, {_COS} AS sim FROM both_",
     "vector_compare": f"{_BOTH} SELECT word, idx, round(1 - list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS cosine_distance, round(list_sum(list_transform(list_zip(a, b), lambda x: abs(x[1] - x[2]))), 5) AS l1 FROM both_",
@@ -227,13 +280,10 @@ SELECT measure, round(avg(x), 6) AS mean, round(max(x), 6) AS max, round(min(x),
     "prediction_stats_long": f"""{_OVERLAP_LONG}, u AS (UNPIVOT o ON {', '.join(_JACS)} INTO NAME measure VALUE x)
 SELECT measure, round(avg(x), 6) AS mean, round(max(x), 6) AS max, round(min(x), 6) AS min, round(median(x), 6) AS median, round(stddev_pop(x), 6) AS std FROM u GROUP BY measure""",
     "prediction_spread_long": f"{_softmax(False)} SELECT qid, round(stddev_pop(p), 8) AS prob_std FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY p DESC, idx) <= {LONG}) GROUP BY qid",
-    "distribution_compare": rf"""WITH {SQL_VECTORS}, words AS (SELECT idx, word FROM vectors WHERE model = 'good'),
-w AS (SELECT line_id, generate_subscripts(t, 1) AS pos, unnest(t) AS word FROM (SELECT line_id, regexp_extract_all(texts, '\S+') AS t FROM dark_texts)),
-k AS (SELECT line_id, idx, row_number() OVER (PARTITION BY line_id ORDER BY pos) AS i FROM w JOIN words USING (word)),
-o AS (SELECT x.idx AS qid, y.idx, count(*) AS n FROM k x JOIN k y ON x.line_id = y.line_id AND x.i <> y.i AND abs(x.i - y.i) <= 5 AND (x.i - 1) // 1000 = (y.i - 1) // 1000 WHERE x.idx % 20 = 0 GROUP BY ALL),
-dots AS (SELECT q.idx AS qid, c.idx, list_dot_product(q.vector, c.vector) AS s FROM vectors q JOIN vectors c ON c.model = 'good' WHERE q.model = 'bad' AND q.idx % 20 = 0),
-ws AS (SELECT qid, idx, CASE WHEN s > 6 THEN 1.0::DOUBLE WHEN s < -6 THEN 0.0::DOUBLE ELSE exp(s) END AS w FROM dots),
-p AS (SELECT qid, idx, w / sum(w) OVER (PARTITION BY qid) AS p FROM ws), z AS (SELECT qid, sum(p * p) AS pp FROM p GROUP BY qid)
-SELECT o.qid, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS contexts, round(-ln(sum(sqrt(p * n)) / sqrt(sum(n))), 6) AS bhattacharyya, round(sum(p * n) / (sqrt(any_value(pp)) * sqrt(sum(n * n))), 6) AS cosine
-FROM o JOIN p ON o.qid = p.qid AND o.idx = p.idx JOIN z ON o.qid = z.qid GROUP BY o.qid""",
+    "distribution_compare": f"{_REPORT} SELECT * FROM report",
+    "prediction_rho": f"""{_lists(LONG)}, z AS (SELECT gb.qid, unnest(gb.l[1:least(len(gb.l), len(gg.l))]) AS x, unnest(gg.l[1:least(len(gb.l), len(gg.l))]) AS y FROM gb JOIN gg ON gb.qid = gg.qid),
+r AS (SELECT qid, rank() OVER (PARTITION BY qid ORDER BY x) AS rx, rank() OVER (PARTITION BY qid ORDER BY y) AS ry FROM z) SELECT qid, round(corr(rx, ry), 6) AS correlation FROM r GROUP BY qid""",
+    "comparison_lists": f"{_NAMED} SELECT side, w.word, c.word AS context, value, cn FROM sides JOIN words w ON w.idx = sides.qid JOIN words c ON c.idx = sides.idx LEFT JOIN word_counts n ON n.word = c.word",
+    "plot_panels": f"""{_NAMED} SELECT 'bhattacharyya' AS measure, word, bhattacharyya AS x, CAST(good_occurrence AS DOUBLE) AS y FROM named WHERE isfinite(bhattacharyya) AND isfinite(cosine)
+UNION ALL SELECT 'cosine', word, cosine, CAST(good_occurrence AS DOUBLE) FROM named WHERE isfinite(cosine) UNION ALL SELECT 'both', word, cosine, bhattacharyya FROM named WHERE isfinite(bhattacharyya) AND isfinite(cosine)""",
 }

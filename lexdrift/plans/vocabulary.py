@@ -8,9 +8,8 @@ from lexdrift.functions import text as T
 from lexdrift.operators import phrases as P
 from lexdrift.operators import vocabulary as V
 from lexdrift.plans import commands
-from lexdrift.plans.common import DARK, SQL_COUNTS, WHITE, table, threads, word_counts
-
-FORUMS = ["nulled", "hackforums", "darkode", "silkroad_fts"]
+from lexdrift.plans.common import DARK, FORUMS, SQL_COUNTS, WHITE, table, threads, word_counts
+from lexdrift.plans.text import sentences_sql
 
 
 def _corpus(spark, d):
@@ -57,7 +56,7 @@ def without_rare_words(spark, d):
 
 
 def _forum_vocab(spark, d):
-    rows = threads(spark, d, FORUMS + ["reddit"], "texts").select("forum", F.explode(T.blank_tokens(F.col("texts"))).alias("word"))
+    rows = threads(spark, d, FORUMS, "texts").select("forum", F.explode(T.blank_tokens(F.col("texts"))).alias("word"))
     each = rows.groupBy("forum", "word").agg(F.count("*").alias("n"))
     side = F.when(F.col("forum") == "reddit", "white").otherwise("dark")
     combined = each.groupBy(side.alias("label"), "word").agg(F.sum("n").alias("n"))
@@ -135,7 +134,7 @@ _TOKENS = r"tokens AS (SELECT corpus, unnest(regexp_extract_all(lower(text), '[\
 _TWO = f"""{_TOKENS}, counts AS (SELECT word, count(*) AS cn, CAST(count(*) FILTER (WHERE corpus = 'good') AS BIGINT) AS gcn, CAST(count(*) FILTER (WHERE corpus = 'bad') AS BIGINT) AS bcn
   FROM (SELECT corpus, word FROM tokens UNION ALL SELECT corpus, '</s>' FROM documents WHERE corpus IS NOT NULL AND text IS NOT NULL) GROUP BY word)"""
 _SPLIT = r"unnest(regexp_extract_all(texts, '\S+'))"
-_LABELS = " UNION ALL ".join(f"SELECT '{f}' AS forum, texts FROM {f}" for f in FORUMS + ["reddit"])
+_LABELS = " UNION ALL ".join(f"SELECT '{f}' AS forum, texts FROM {f}" for f in FORUMS)
 _VOCAB = f"""each_ AS (SELECT forum AS label, word, count(*) AS n FROM (SELECT forum, {_SPLIT} AS word FROM ({_LABELS})) GROUP BY ALL),
 combined AS (SELECT CASE WHEN label = 'reddit' THEN 'white' ELSE 'dark' END AS label, word, CAST(sum(n) AS BIGINT) AS n FROM each_ GROUP BY ALL)"""
 _FREQ = f"""WITH {_VOCAB}, dark AS (SELECT word, n FROM combined WHERE label = 'dark' AND n > 10), white AS (SELECT word FROM combined WHERE label = 'white' AND n > 10)"""
@@ -150,6 +149,11 @@ ORACLES = {
     "merged_vocab": f"WITH {SQL_COUNTS} SELECT * FROM word_counts",
     "shared_or_frequent": f"""WITH dark AS (SELECT word, count(*) AS n FROM (SELECT {_SPLIT} AS word FROM dark_texts) GROUP BY word), white AS (SELECT DISTINCT {_SPLIT} AS word FROM reddit)
 SELECT word FROM dark WHERE n >= 200 OR word IN (SELECT word FROM white)""",
+    "aligned_sentences": f"""WITH {sentences_sql(DARK + WHITE)}, x AS (SELECT CASE WHEN forum = 'reddit' THEN 'white' ELSE 'dark' END AS side, forum, row_id, i, generate_subscripts(s, 1) AS j, unnest(s) AS tokens FROM t),
+n AS (SELECT side, word, count(*) AS n FROM (SELECT side, unnest(tokens) AS word FROM x) GROUP BY ALL),
+allowed AS (SELECT word FROM n WHERE side = 'dark' AND (n >= 200 OR word IN (SELECT word FROM n WHERE side = 'white'))),
+f AS (SELECT DISTINCT forum, row_id, i, j FROM (SELECT forum, row_id, i, j, unnest(tokens) AS word FROM x) WHERE word NOT IN (SELECT word FROM allowed))
+SELECT side, forum, row_id, string_agg(array_to_string(tokens, ' '), ' ' ORDER BY i, j) AS line FROM x ANTI JOIN f USING (forum, row_id, i, j) GROUP BY side, forum, row_id""",
     "without_rare_words": rf"""WITH w AS (SELECT line_id, generate_subscripts(t, 1) AS pos, unnest(t) AS word FROM (SELECT line_id, regexp_extract_all(texts, '\S+') AS t FROM dark_texts)),
 f AS (SELECT word FROM w GROUP BY word HAVING count(*) > 10) SELECT line_id, string_agg(word, ' ' ORDER BY pos) AS line FROM w SEMI JOIN f USING (word) GROUP BY line_id""",
     "coverage_summary": f"""WITH {_VOCAB} SELECT label, CAST(sum(n) AS BIGINT) AS total, count(*) AS words, CAST(count(*) FILTER (WHERE n > 10) AS BIGINT) AS frequent_words,
