@@ -6,6 +6,7 @@ Pages come as ``(id, html)`` and are parsed in Arrow batches; a page that cannot
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -107,74 +108,92 @@ def page_text(source: str | None, drop=("code",)) -> str | None:
     return None if source is None else tree(source).text(" ", skip=(*drop, "script", "style"))
 
 
-def _raw(source: str, e: Element) -> str:
-    return source[e.start : e.end]
-
-
-def parse_board_page(source: str, dated: bool = False) -> dict | None:
-    """Page of a board: ``#content`` with ``.navigation`` (three links at least) and ``#posts``; None for other pages."""
-    content = tree(source).find("div", id="content")
-    nav, posts = (content.find("div", "navigation"), content.find("div", id="posts")) if content else (None, None)
-    if not nav or not posts or sum(1 for _ in nav.find_all("a")) < 3 or not nav.find("span"):
+def select(root: Element, path: str) -> list[Element]:
+    """Elements by a path of steps ``tag.class.class#id``, each below the one before; ``>`` before a step takes children only."""
+    found, children = [root], False
+    for step in path.split():
+        if step == ">":
+            children = True
+            continue
+        tag, _, rest = step.partition("#") if "#" in step else step.partition(".")
+        wanted = {"id": rest} if "#" in step else {"cls": rest.replace(".", " ")} if rest else {}
+        below = []
+        for e in found:
+            kept = e.find_all(tag or None, **wanted)
+            below += [x for x in kept if not children or x.parent is e]
+        found, children = list(dict.fromkeys(below)), False
+    return found
+
+
+@dataclass(frozen=True)
+class Source:
+    """Where the parts of a page stand. Paths start at the first element of ``frame``; a page without it, or without what is required, is no page of this source."""
+
+    frame: str
+    title: str
+    post: str
+    body: str
+    required: tuple[tuple[str, int], ...] = ()
+    title_form: re.Pattern | None = None  # its first group is the title
+    author: str = ""  # below the post
+    left_out: str = ""  # areas without comments
+    deleted: str = ""  # the text of a comment that is none
+    dated_post: str = ""  # posts of the dated form, if they are others
+    date: str = ""  # below the post
+    date_line: int = 0  # which line of it
+    date_tail: int = 0  # characters after the date
+    date_format: str | None = None
+    address: tuple[str, str] | None = None  # element and attribute of the page's own address
+    trail: str = ""  # the trail to the page, whose last step is the page itself
+    empty: str = ""  # without this element the page is one of no posts
+
+
+# Elements and date formats of the pages of three kinds of sources.
+SOURCES = {
+    "board": Source(
+        frame="div#content", title="div.navigation span", required=(("div.navigation a", 3), ("div.navigation span", 1), ("div#posts", 1)), post="div#posts", body="div.post_body",
+        author="td.post_author span.largetext", dated_post="div#posts .tborder", date=".tcat div.float_left.smalltext", date_format="MM-dd-yyyy, hh:mm a",
+    ),
+    "links": Source(frame="", title="a.title", required=(("a.title", 1),), post="", body="div.usertext-body", left_out="div.side", deleted="[deleted]"),
+    "market": Source(
+        frame="div#main_content_section", title="div#forumposts div.cat_bar", title_form=TITLE_READ, required=(("div.navigate_section", 1),), empty="div#forumposts", post="div#forumposts form#quickModForm > div",
+        body="div.post", author="div.poster h4", date="div.flow_hidden div.smalltext", date_line=-1, date_tail=1, date_format="MMMM dd, yyyy, hh:mm a",
+        address=("div#forumposts form#quickModForm", "action"), trail="div.navigate_section",
+    ),
+}
+
+
+def parse_page(source: str, kind: str, dated: bool = False) -> dict | None:
+    """Title, authors, raw comments and, if ``dated``, the dates as written of a page; None for pages of other kinds."""
+    s, root = SOURCES[kind], tree(source)
+    frame = next(iter(select(root, s.frame)), None) if s.frame else root
+    if frame is None or any(len(select(frame, path)) < least for path, least in s.required):
         return None
-    authors = {s.text() for td in posts.find_all("td", "post_author") if (s := td.find("span", "largetext"))}
-    out = {"title": nav.find("span").text(" "), "authors": sorted(authors), "dates": []}
-    if not dated:
-        out["raw_comments"] = [_raw(source, e) for e in posts.find_all("div", "post_body")]
+    out = {"title": "", "authors": [], "raw_comments": [], "dates": [], "url": None, "category": []}
+    if s.trail:
+        out["category"] = [x.strip() for x in select(frame, s.trail)[0].text(" ").split("»")][:-1]
+    if s.empty and not select(frame, s.empty):
         return out
-    out["raw_comments"] = []
-    for post in posts.find_all(None, "tborder"):
-        cat = post.find("td", "tcat")
-        date = cat.find("div", "float_left smalltext") if cat else None
-        if date:
-            for e in post.find_all("div", "post_body"):
-                out["raw_comments"].append(_raw(source, e))
-                out["dates"].append(date.text().strip().split("\n")[0].strip())
-    return out
-
-
-def parse_link_page(source: str) -> dict | None:
-    """Page of a link board: title in ``a.title``, comments in ``div.usertext-body`` outside the side bar, deleted ones left out."""
-    root = tree(source)
-    title = root.find("a", "title")
-    if title is None:
+    heads = [e.text(" ").strip() if s.title_form is None else e.text().strip() for e in select(frame, s.title)[:1]]
+    if s.title_form:
+        heads = [m.group(1) for h in heads if (m := s.title_form.match(h))]
+    if not heads or s.address and not select(frame, s.address[0]):
         return None
-    side = root.find("div", "side")
-    inside = set(map(id, side.walk())) if side else set()
-    comments = [e for e in root.find_all("div", "usertext-body") if id(e) not in inside and e.text(" ").strip() != "[deleted]"]
-    return {"title": title.text(" ").strip(), "authors": [], "raw_comments": [_raw(source, e) for e in comments], "dates": []}
-
-
-def parse_market_page(source: str, dated: bool = False) -> dict | None:
-    """Page of a market forum: category from the breadcrumb, title before "(Read n times)", posts as direct divs of the form."""
-    main = tree(source).find("div", id="main_content_section")
-    nav = main.find("div", "navigate_section") if main else None
-    if not nav:
-        return None
-    out = {"title": "", "authors": [], "raw_comments": [], "dates": [], "url": None, "category": [x.strip() for x in nav.text(" ").split("»")][:-1]}
-    posts = main.find("div", id="forumposts")
-    if not posts:
-        return out
-    bar, form = posts.find("div", "cat_bar"), posts.find("form", id="quickModForm")
-    title = TITLE_READ.match(bar.text().strip()) if bar else None
-    if not title or not form:
-        return None
-    out |= {"title": title.group(1), "url": form.attrs.get("action")}
-    authors = set()
-    for post in (e for e in form.children if isinstance(e, Element) and e.tag == "div"):
-        poster, body = post.find("div", "poster"), post.find("div", "post")
-        if poster and poster.find("h4"):
-            authors.add(poster.find("h4").text().strip())
-        if body:
-            out["raw_comments"].append(_raw(source, body))
-            if dated and (meta := post.find("div", "flow_hidden")) and (small := meta.find("div", "smalltext")):
-                out["dates"].append(small.text("\n").split("\n")[-1][:-1].strip())
-    return out | {"authors": sorted(authors)}
-
-
-BOARD_DATE, MARKET_DATE = "MM-dd-yyyy, hh:mm a", "MMMM dd, yyyy, hh:mm a"
-# The registry of sources: name, parser and format of its dates.
-PARSERS = {"board": (parse_board_page, BOARD_DATE), "links": (parse_link_page, None), "market": (parse_market_page, MARKET_DATE)}
+    out["title"] = heads[0]
+    if s.address:
+        out["url"] = select(frame, s.address[0])[0].attrs.get(s.address[1])
+    aside = {id(x) for e in select(frame, s.left_out)[:1] for x in e.walk()} if s.left_out else set()
+    everywhere = select(frame, s.post) if s.post else [frame]
+    out["authors"] = sorted({a.text().strip() for p in everywhere for a in (select(p, s.author) if s.author else [])})
+    for post in select(frame, s.dated_post) if dated and s.dated_post else everywhere:
+        said = [e.text("\n").strip().split("\n")[s.date_line] for e in select(post, s.date)[:1]] if dated and s.date else []
+        if dated and s.date and not said:
+            continue
+        for e in select(post, s.body):
+            if id(e) not in aside and not (s.deleted and e.text(" ").strip() == s.deleted):
+                out["raw_comments"].append(source[e.start : e.end])
+                out["dates"] += [t[: len(t) - s.date_tail].strip() for t in said]
+    return out
 
 
 def _field(name: str):
@@ -183,14 +202,13 @@ def _field(name: str):
 
 def parse_pages(pages: DataFrame, kind: str, key: str = "id", dated: bool = False) -> DataFrame:
     """``(key, title, authors, raw_comments, comments, dates)`` of pages ``(key, html)``; posts whose date cannot be read are dropped when ``dated``."""
-    parser, form = PARSERS[kind]
-    how = {"dated": True} if dated and form else {}
+    form = SOURCES[kind].date_format
 
     def run(batches):
         for b in batches:
             rows = []
             for k, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                page = parser(source, **how) if source else None
+                page = parse_page(source, kind, bool(dated and form)) if source else None
                 if page:
                     rows.append((k, page["title"], page["authors"], page["raw_comments"], [page_text(c) for c in page["raw_comments"]], page["dates"]))
             cols = list(zip(*rows)) or [[]] * 6

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexdrift.functions import text as T
+from lexdrift.functions import vector as V
 from lexdrift.operators import evaluation, models, parsing, phrases, training, vectors, vocabulary
 from lexdrift.session import stage
 
@@ -99,10 +100,36 @@ def eval_stats(vecs: DataFrame, counts: DataFrame, marks: DataFrame, **limits) -
     return {"candidates": evaluation.explained(cands, vecs, counts), "labels": evaluation.labelled(cands, marks), "missed": evaluation.missed(cands, marks, vecs, counts)}
 
 
+def train_single(lines: DataFrame, vocab: DataFrame, **options) -> DataFrame:
+    """Vectors of one corpus with the options of the library demo: 200 numbers, window 10, 25 noise words, 15 epochs."""
+    return train(lines, vocab, "single", **{"dim": 200, "window": 10, "negative": 25, "sample": 1e-4, "epochs": 15} | options)
+
+
+def compare_pred(vecs: DataFrame, queries: DataFrame, ks: tuple[int, ...] = (40, 100, 1000)) -> dict[str, DataFrame]:
+    """``queries(idx)``: per word the overlap and rank correlation of predictions within and across the models, and their statistics.
+
+    ``details`` has a row per word, ``stats`` one per measure, as ``writers.comparison_stats_json`` writes them.
+    """
+    longest, lists = max(ks), None
+    of = lambda m: vecs.where(F.col("model") == m).select("idx", F.col("vector").alias("vec"))
+    asked = lambda m: of(m).join(queries.select("idx"), "idx").select(F.col("idx").alias("qid"), "vec", F.array().cast("array<bigint>").alias("skip"))
+    for name, a, b in (("gb", "bad", "good"), ("gg", "good", "good"), ("bb", "bad", "bad")):
+        top = vectors.top_products(asked(a), of(b), longest)
+        listed = top.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "idx"))), lambda x: x["idx"]).alias(name))
+        lists = listed if lists is None else lists.join(listed, "qid")
+    lists = stage(lists, "lists")
+    spread = vectors.predictions(asked("bad").drop("skip"), of("good"), longest, clamp=False).groupBy("qid").agg(F.stddev_pop("p").alias("prob_std1"))
+    jac = [V.jaccard(F.slice(a, 1, k), F.slice("gg", 1, k)).alias(f"jac{k}_{a}") for k in ks for a in ("gb", "bb")]
+    details = stage(lists.select("qid", *jac).join(evaluation.rank_correlation(lists, "gb", "gg"), "qid").join(spread, "qid"), "details")
+    named = details.join(vecs.where("model = 'good'").select(F.col("idx").alias("qid"), "word"), "qid")
+    return {"details": named, "stats": evaluation.describe(details, *(c for c in details.columns if c != "qid"))}
+
+
 COMMANDS: dict[str, Callable] = {
     "preprocess": preprocess, "gettime": gettime, "prepare": prepare, "prepare_text2data": prepare_text2data, "text_stats": text_stats, "coverage": coverage, "vocab": vocab, "train": train,
     "phrases": phrase, "parse_annotated": parse_annotated, "eval_stats": eval_stats, "compare_vectors": vectors.cross_model, "compare": vectors.distribution_report, "predict": vectors.predictions,
     "distance": vectors.top_products, "word_analogy": vectors.analogies, "compute_accuracy": vectors.accuracy, "simulate": models.simulate_shift, "classes": models.spherical_kmeans, "linear_map": models.linear_maps,
+    "train_text8": train_single, "compare_pred": compare_pred, "testplot": evaluation.panels,
 }
 
 

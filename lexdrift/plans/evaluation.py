@@ -13,8 +13,13 @@ from lexdrift.session import stage
 LIMITS = {"least_good": 10, "least_bad": 5, "ceiling": 0.3}
 
 
-def _candidates(spark, d):
-    return E.candidates(vectors(spark, d), word_counts(spark, d), **LIMITS)
+def _inputs(spark, d):
+    """Vectors and counts, staged: the plans read them several times."""
+    return stage(vectors(spark, d), "vectors"), stage(word_counts(spark, d), "counts")
+
+
+def _candidates(spark, d, v=None, counts=None):
+    return E.candidates(*((v, counts) if v is not None else (vectors(spark, d), word_counts(spark, d))), **LIMITS)
 
 
 def shift_candidates(spark, d):
@@ -22,7 +27,8 @@ def shift_candidates(spark, d):
 
 
 def candidate_neighbours(spark, d):
-    c = E.explained(_candidates(spark, d), vectors(spark, d), word_counts(spark, d), 40, 10)
+    v, counts = _inputs(spark, d)
+    c = E.explained(_candidates(spark, d, v, counts), v, counts, 40, 10)
     return c.select("rank", "word", "sim", *(F.coalesce(x, F.lit("")).alias(x) for x in ("good_interpretation", "bad_interpretation", "normal_interpretation")))
 
 
@@ -31,14 +37,16 @@ _NEAR = ["good_interpretation", "bad_interpretation", "normal_interpretation"]
 
 def explained_candidates(spark, d):
     """The candidates with all 100 neighbours of sufficient count and their sample lines."""
-    cands = stage(_candidates(spark, d), "candidates")
-    c = E.explained(cands, vectors(spark, d), word_counts(spark, d))
+    v, counts = _inputs(spark, d)
+    cands = stage(_candidates(spark, d, v, counts), "candidates")
+    c = E.explained(cands, v, counts)
     full = E.with_samples(c, threads(spark, d, DARK, "comments"), threads(spark, d, WHITE, "comments"))
     return full.select("rank", "word", "sim", *(F.coalesce(x, F.lit("")).alias(x) for x in _NEAR), "bad_sen", "good_sen")
 
 
 def explained_missed(spark, d):
-    m = E.missed_explained(_candidates(spark, d), annotation_labels(spark, d), vectors(spark, d), word_counts(spark, d))
+    v, counts = _inputs(spark, d)
+    m = E.missed_explained(_candidates(spark, d, v, counts), annotation_labels(spark, d), v, counts)
     return m.select("word", "sim", "gcn", "bcn", *(F.coalesce(x, F.lit("")).alias(x) for x in _NEAR), "bad_sen", "good_sen", "label")
 
 
@@ -64,7 +72,8 @@ def labelled_candidates(spark, d):
 
 
 def missed_annotations(spark, d):
-    return E.missed(_candidates(spark, d), annotation_labels(spark, d), vectors(spark, d), word_counts(spark, d))
+    v, counts = _inputs(spark, d)
+    return E.missed(_candidates(spark, d, v, counts), annotation_labels(spark, d), v, counts)
 
 
 def _dated(spark, d):
@@ -90,7 +99,7 @@ def event_dates(spark, d):
 
 
 def similarity_points(spark, d):
-    """Points of the similarity panel: finite similarities with their counts, in rising order."""
+    """Points of the similarity panel: finite similarities with their counts; ``writers.plot_points`` writes them."""
     s = E.X.cross_model(vectors(spark, d)).where("not isnan(sim)").join(word_counts(spark, d), "word")
     return s.select("word", F.round("sim", 6).alias("sim"), F.col("cn").alias("occurrence"))
 

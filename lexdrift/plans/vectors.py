@@ -283,6 +283,7 @@ SELECT measure, round(avg(x), 6) AS mean, round(max(x), 6) AS max, round(min(x),
     "distribution_compare": f"{_REPORT} SELECT * FROM report",
     "prediction_rho": f"""{_lists(LONG)}, z AS (SELECT gb.qid, unnest(gb.l[1:least(len(gb.l), len(gg.l))]) AS x, unnest(gg.l[1:least(len(gb.l), len(gg.l))]) AS y FROM gb JOIN gg ON gb.qid = gg.qid),
 r AS (SELECT qid, rank() OVER (PARTITION BY qid ORDER BY x) AS rx, rank() OVER (PARTITION BY qid ORDER BY y) AS ry FROM z) SELECT qid, round(corr(rx, ry), 6) AS correlation FROM r GROUP BY qid""",
+    "observed_contexts": f"{_REPORT} SELECT qid, idx, n, row_number() OVER (PARTITION BY qid ORDER BY n DESC, idx) AS rank FROM o QUALIFY rank <= 40",
     "comparison_lists": f"{_NAMED} SELECT side, w.word, c.word AS context, value, cn FROM sides JOIN words w ON w.idx = sides.qid JOIN words c ON c.idx = sides.idx LEFT JOIN word_counts n ON n.word = c.word",
     "plot_panels": f"""{_NAMED} SELECT 'bhattacharyya' AS measure, word, bhattacharyya AS x, CAST(good_occurrence AS DOUBLE) AS y FROM named WHERE isfinite(bhattacharyya) AND isfinite(cosine)
 UNION ALL SELECT 'cosine', word, cosine, CAST(good_occurrence AS DOUBLE) FROM named WHERE isfinite(cosine) UNION ALL SELECT 'both', word, cosine, bhattacharyya FROM named WHERE isfinite(bhattacharyya) AND isfinite(cosine)""",

@@ -164,7 +164,7 @@ def test_parsers(spark):
     assert [(r.id, r.title, r.authors, r.comments) for r in got] == [("1", "Title & more", ["Bob"], ["one  two", "three four"])]
     dated = H.parse_pages(pages(BOARD), "board", dated=True).collect()
     assert len(dated) == 1 and dated[0].comments == ["one  two"] and str(dated[0].dates[0]) == "2024-03-11 21:15:00"
-    m = H.parse_market_page(MARKET, dated=True)
+    m = H.parse_page(MARKET, "market", dated=True)
     assert (m["title"], m["url"], m["category"], m["authors"], m["dates"]) == ("Good stuff", "http://m/1", ["Home", "Drugs"], ["Al"], ["March 11, 2024, 09:15 PM"])
     links = H.parse_pages(pages(LINKS), "links").collect()
     assert [(r.title, r.comments) for r in links] == [("A title", ["first"])]

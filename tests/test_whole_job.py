@@ -87,3 +87,16 @@ def test_huffman_codes_refuse_a_cut_vocabulary(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(TR, "WORDS_AT_MOST", 5)
     with pytest.raises(ValueError, match="more than 5 words"):
         PM.huffman_codes(spark, str(tmp_path))
+
+
+def test_compare_pred_command(spark, tmp_path):
+    from lexdrift.plans import commands as C
+    from lexdrift.sources import writers as W
+
+    _vectors(spark, tmp_path, 60)
+    vecs = spark.read.parquet(f"{tmp_path}/syn0.parquet").withColumn("vector", F.col("vector").cast("array<double>"))
+    got = C.run("compare_pred", vecs, vecs.where("model = 'good' and idx % 20 = 0"), ks=(5, 10))
+    assert {r.word for r in got["details"].collect()} == {"w0", "w20", "w40"}
+    assert {r.measure for r in got["stats"].collect()} == {"jac5_gb", "jac5_bb", "jac10_gb", "jac10_bb", "correlation", "pvalue", "prob_std1"}
+    W.comparison_stats_json(got["details"], got["stats"], str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out/details")).count() == 3
