@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, GRAPH, PART_ROWS, PROBES = 12_000, 10, 1500, 8
-LEAVES, BUNDLE, REGIONS = 64, 8, 4  # parts of a region, parts of a bundle, most probable regions in which parts are looked for
+SAMPLE, GRAPH, PART_ROWS, PROBES = 12_000, 10, 1500, 12
+LEAVES, BUNDLE, REGIONS = 64, 8, 8  # parts of a region, parts of a bundle, most probable regions in which parts are looked for
 SUPERS_AT_MOST, PARTS_AT_MOST, MODELS_AT_MOST = 512, 65_536, 4096  # what is broadcast: a row of numbers per part and region
 FEW_PARTS, FEW_ROWS = 16, 64  # small models have so many parts if they are not smaller than that
 QUERY_BLOCK, INDEX_BLOCK = 60_000, 40_000
