@@ -13,14 +13,12 @@ documents in the order of cell and class of size, at random within a class, so t
 what was calibrated; of ``DRAWS`` seeded draws of a bucket the one that meets the bucket's tokens best is taken.
 Sources are cut into buckets of bounded size, so one with a third of all rows is not one task.
 
-Topics are clusters of the documents' tokens, fitted on a bounded sample after the mean of each language is
-taken out, so that they say what a text is about rather than which language it is in.
+Topics are clusters of the documents' tokens, fitted on all documents of the wanted sources after the mean of
+each language is taken out, so that they say what a text is about rather than which language it is in.
 """
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,82 +30,199 @@ from lexdrift.llm.common import first_by_hash
 from lexdrift.session import stage
 
 SOURCES_AT_MOST, CELLS_AT_MOST, BUCKET, TEMPERATURE = 10_000, 200_000, 20_000, 0.8
-TOPICS, TOPIC_SAMPLE, BAG = 8, 3000, 2048  # clusters, documents they are fitted on at most, columns that token numbers are hashed to
+TOPICS, FITTED, BAG, SCALE = 8, 15, 2048, 2.0**24  # clusters, rounds they are fitted in at most, columns that token numbers are hashed to, steps of one
 ROUNDS, SETTLED, DRAWS = 500, 1e-9, 32
 
 
-def _bags(ids: list[list[int]]) -> np.ndarray:
-    """Damped counts of hashed token numbers, one row per text."""
-    out = np.zeros((len(ids), BAG), np.float32)
-    for i, x in enumerate(ids):
-        if x:
-            out[i] = np.log1p(np.bincount((np.asarray(x, np.int64) * 2654435761 >> 7) % BAG, minlength=BAG))
-    return out
+def bagged(documents: DataFrame, path: str = tokens.RANKS) -> DataFrame:
+    """``(doc_id, source, lang, tokens, bag)`` of the documents with tokens; null languages are a language of their own.
+
+    A bag has a number for each column that the document's token numbers are hashed to: the column plus ``BAG`` times the count.
+    """
+
+    def run(batches):
+        for b in batches:
+            for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+                ids = tokens.numbers(part.column(3).to_pylist(), path)
+                bags = []
+                for x in ids:
+                    counts = np.bincount((np.asarray(x, np.int64) * 2654435761 >> 7) % BAG, minlength=BAG)
+                    there = np.flatnonzero(counts)
+                    bags.append((there + BAG * counts[there]).astype(np.int64).tobytes())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array([len(x) for x in ids], pa.int64()), pa.array(bags, pa.binary())], names=["doc_id", "source", "lang", "tokens", "bag"])
+
+    rows = documents.select(F.col("doc_id").cast("bigint"), "source", F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, source string, lang string, tokens bigint, bag binary").where("tokens > 0")
+
+
+def _entries(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and count of every number of the bags."""
+    count, slot = np.divmod(np.frombuffer(b"".join(bags), np.int64), BAG)
+    return np.repeat(np.arange(len(bags)), [len(x) // 8 for x in bags]), slot, count
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """At length one, in whole steps of 1 / ``SCALE``."""
+    n = np.linalg.norm(v)
+    return np.rint(v / n * SCALE) if n > 0 else np.zeros(len(v))
 
 
 class Topics:
-    """Spherical k-means on bags of tokens, weighted by rarity and without the mean of their language."""
-
-    def __init__(self, topics: int = TOPICS, seed: int = 9) -> None:
-        self.topics, self.seed, self.idf, self.means, self.centres = topics, seed, None, {}, None
-
-    def _prepared(self, bags: np.ndarray, langs: list[str]) -> np.ndarray:
-        x = bags * self.idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        for i, lang in enumerate(langs):
-            if lang in self.means:
-                x[i] -= self.means[lang]
-        return x
-
-    def fit(self, bags: np.ndarray, langs: list[str], rounds: int = 15) -> "Topics":
-        self.idf = np.log((1 + len(bags)) / (1 + (bags > 0).sum(0))).astype(np.float32)
-        x = self._prepared(bags, langs)
-        for lang in sorted(set(langs)):
-            self.means[lang] = x[[i for i, g in enumerate(langs) if g == lang]].mean(0)
-        x = self._prepared(bags, langs)
-        rng = np.random.default_rng(self.seed)
-        self.centres = x[rng.choice(len(x), min(self.topics, len(x)), replace=False)] if len(x) else np.zeros((1, BAG), np.float32)
-        for _ in range(rounds if len(x) else 0):
-            near = (x @ self.centres.T).argmax(1)
-            for k in range(len(self.centres)):
-                total = x[near == k].sum(0)
-                n = np.linalg.norm(total)
-                if n > 0:
-                    self.centres[k] = total / n
-        return self
-
-    def of(self, bags: np.ndarray, langs: list[str]) -> list[str]:
-        return [f"topic{k}" for k in (self._prepared(bags, langs) @ self.centres.T).argmax(1)]
-
-
-def fit_topics(documents: DataFrame, path: str = tokens.RANKS, topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> Topics:
-    """From at most ``sample`` documents ``(doc_id, lang, text)``, the first by a hash of their ids over the whole table; fitted in a task."""
+    """Centres of spherical k-means on bags of tokens, weighted by rarity and without the mean of their language.
+
+    ``offsets`` has the product of each language's mean with the centres: what its documents have of them by their language alone.
+    """
+
+    def __init__(self, idf: np.ndarray, centres: np.ndarray, offsets: dict[str, list[int]]) -> None:
+        self.idf, self.centres, self.offsets = idf, centres, offsets
+
+    def weighed(self, bags: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, column and value of every number of the bags: damped counts by rarity, at length one a row.
+
+        Values and centres are whole steps of 1 / ``SCALE``, so that sums and products are exact, whatever the order of the rows.
+        """
+        row, slot, count = _entries(bags)
+        x = np.log1p(count) * self.idf[slot]
+        norm = np.sqrt(np.bincount(row, x * x, minlength=len(bags)))
+        return row, slot, np.rint(x / np.maximum(norm, 1e-9)[row] * SCALE)
+
+    def of(self, weighed: tuple[np.ndarray, np.ndarray, np.ndarray], langs: list[str]) -> np.ndarray:
+        """Number of the nearest centre of every row."""
+        row, slot, x = weighed
+        near = np.stack([np.bincount(row, x * c[slot], minlength=len(langs)) for c in self.centres], 1)
+        none = [0] * len(self.centres)  # of a language without any weighted column
+        return (near - np.array([self.offsets.get(g, none) for g in langs], float)).argmax(1)
+
+
+def _parts(batches):
+    """Bags and languages, a thousand rows at a time."""
+    for b in batches:
+        for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+            yield part.column("bag").to_pylist(), part.column("lang").to_pylist()
+
+
+def _rarity(bags: DataFrame, n: int) -> np.ndarray:
+    """Weight of every column, by how many of the ``n`` documents have it."""
 
     def run(batches):
-        langs, bags = [], []
-        for b in batches:
-            langs += [x or "" for x in b.column(0).to_pylist()]
-            bags.append(_bags(tokens.numbers(b.column(1).to_pylist(), path)))
-        model = Topics(topics).fit(np.concatenate(bags) if bags else np.zeros((0, BAG), np.float32), langs)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        seen = np.zeros(BAG, np.int64)
+        for some, _ in _parts(batches):
+            seen += np.bincount(_entries(some)[1], minlength=BAG)
+        yield pa.RecordBatch.from_arrays([pa.array(range(BAG), pa.int32()), pa.array(seen)], names=["slot", "n"])
+
+    seen = bags.select("lang", "bag").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n")).collect()  # BAG rows
+    out = np.zeros(BAG)
+    for slot, docs in seen:
+        out[slot] = np.log((1 + n) / (1 + docs))
+    return out
 
-    drawn = first_by_hash(documents.where("text <> ''"), sample, "doc_id", "text").select("lang", "text")
-    fitted = drawn.coalesce(1).mapInArrow(run, "model binary").first()  # one model of bounded size; none without documents
-    return pickle.loads(fitted[0]) if fitted else Topics(topics).fit(np.zeros((0, BAG), np.float32), [])
 
+def _language_means(bags: DataFrame, model: Topics) -> DataFrame:
+    """``(lang, slot, mean)`` over all documents of each language, in whole steps of 1 / ``SCALE``."""
 
-def sized(documents: DataFrame, topics: Topics, path: str = tokens.RANKS) -> DataFrame:
-    """``(doc_id, source, lang, topic, tokens)``; null languages are a language of their own."""
+    def flat(held):
+        for lang, v in held.items():
+            slots = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slots), pa.string()), pa.array(slots, pa.int32()), pa.array(v[slots].astype(np.int64))], names=["lang", "slot", "total"])
+
+    def run(batches):
+        held: dict[str, np.ndarray] = {}
+        for some, langs in _parts(batches):
+            row, slot, x = model.weighed(some)
+            names: dict[str, int] = {}
+            code = np.array([names.setdefault(g, len(names)) for g in langs])
+            sums = np.bincount(code[row] * BAG + slot, x, minlength=len(names) * BAG).reshape(len(names), BAG)
+            for lang, v in zip(names, sums):
+                held[lang] = held.get(lang, 0.0) + v
+            if len(held) > 256:
+                yield from flat(held)
+                held = {}
+        yield from flat(held)
+
+    sums = bags.select("lang", "bag").mapInArrow(run, "lang string, slot int, total bigint").groupBy("lang", "slot").agg(F.sum("total").alias("total"))
+    return sums.join(bags.groupBy("lang").agg(F.count("*").alias("n")), "lang").selectExpr("lang", "slot", "cast(round(total / n) as bigint) as mean")
+
+
+def _offsets(means: DataFrame, centres: np.ndarray) -> dict[str, list[int]]:
+    ks = range(len(centres))
+    columns = means.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(centres.T.astype(int).tolist())], "slot int" + "".join(f", c{k} bigint" for k in ks))
+    products = means.join(F.broadcast(columns), "slot").groupBy("lang").agg(*(F.sum(F.col("mean") * F.col(f"c{k}")) for k in ks))  # BAG rows
+    return {r[0]: list(r[1:]) for r in products.collect()}
+
+
+def _moved(bags: DataFrame, means: DataFrame, model: Topics) -> np.ndarray:
+    """The centres after one round over all documents; one that no document is nearest to stays."""
+    ks = range(len(model.centres))
+
+    def run(batches):
+        sums, docs = np.zeros((len(ks), BAG)), {}
+        for some, langs in _parts(batches):
+            row, slot, x = weighed = model.weighed(some)
+            topic = model.of(weighed, langs)
+            sums += np.bincount(topic[row] * BAG + slot, x, minlength=sums.size).reshape(sums.shape)
+            for lang, k in zip(langs, topic):
+                docs.setdefault(lang, [0] * len(ks))[k] += 1
+        numbers = np.concatenate([sums.T, np.array(list(docs.values()), float).reshape(-1, len(ks))]).astype(np.int64)
+        names = [pa.array([None] * BAG + list(docs), pa.string()), pa.array([*range(BAG), *[None] * len(docs)], pa.int32())]
+        yield pa.RecordBatch.from_arrays([*names, *(pa.array(numbers[:, k]) for k in ks)], names=["lang", "slot", *(f"n{k}" for k in ks)])
+
+    per_task = bags.select("lang", "bag").mapInArrow(run, "lang string, slot int" + "".join(f", n{k} bigint" for k in ks))
+    rows = per_task.groupBy("lang", "slot").agg(*(F.sum(f"n{k}") for k in ks)).collect()  # BAG rows and one a language
+    sums = np.zeros((BAG, len(ks)), np.int64)
+    for r in rows:
+        if r[0] is None:
+            sums[r[1]] = r[2:]
+    docs = means.sparkSession.createDataFrame([(r[0], *r[2:]) for r in rows if r[0] is not None], "lang string" + "".join(f", n{k} bigint" for k in ks))
+    of_langs = means.join(F.broadcast(docs), "lang").groupBy("slot").agg(*(F.sum(F.col("mean") * F.col(f"n{k}")) for k in ks))  # at most CELLS_AT_MOST rows
+    for r in of_langs.collect():
+        sums[r[0]] -= np.array(r[1:], np.int64)
+    units = np.stack([_unit(v) for v in sums.T.astype(float)])
+    return np.where(units.any(1)[:, None], units, model.centres)
+
+
+def fit_topics(bags: DataFrame, topics: int = TOPICS, rounds: int = FITTED) -> Topics:
+    """Over all of ``bags(doc_id, lang, bag)`` in every round, until nothing moves or for ``rounds``.
+
+    Only where the centres start is drawn: from the first different documents by a hash over the whole table.
+    """
+    langs = bags.groupBy("lang").count().limit(CELLS_AT_MOST + 1).collect()
+    if len(langs) > CELLS_AT_MOST:
+        raise ValueError(f"more than {CELLS_AT_MOST} languages")
+    n = sum(r[1] for r in langs)
+    model = Topics(_rarity(bags, n), np.zeros((1, BAG)), {})
+    if not n:
+        return model
+    means = stage(_language_means(bags, model), "language_means")
+    first = first_by_hash(bags, 4 * topics, "doc_id", "lang", "bag").select("lang", "bag").collect()
+    own = {r["lang"]: np.zeros(BAG) for r in first}
+    for r in means.where(F.col("lang").isin(list(own))).collect():
+        own[r["lang"]][r["slot"]] = r["mean"]
+    starts = {}
+    for r in first:
+        _, slot, x = model.weighed([r["bag"]])
+        v = -own[r["lang"]]
+        v[slot] += x
+        starts.setdefault(_unit(v).tobytes(), _unit(v))
+    model.centres = np.stack(list(starts.values())[:topics])
+    model.offsets = _offsets(means, model.centres)
+    for _ in range(rounds):
+        centres = _moved(bags, means, model)
+        if np.array_equal(centres, model.centres):
+            break
+        model = Topics(model.idf, centres, _offsets(means, centres))
+    return model
+
+
+def sized(bags: DataFrame, topics: Topics) -> DataFrame:
+    """``(doc_id, source, lang, topic, tokens)`` of all bags."""
 
     def run(batches):
         for b in batches:
             for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
-                ids = tokens.numbers(part.column(3).to_pylist(), path)
-                topic = topics.of(_bags(ids), part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(topic, pa.string()), pa.array([len(x) for x in ids], pa.int64())], names=["doc_id", "source", "lang", "topic", "tokens"])
+                topic = topics.of(topics.weighed(part.column("bag").to_pylist()), part.column("lang").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array([f"topic{k}" for k in topic], pa.string()), part.column("tokens")], names=["doc_id", "source", "lang", "topic", "tokens"])
 
-    rows = documents.select(F.col("doc_id").cast("bigint"), "source", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, source string, lang string, topic string, tokens bigint")
+    return bags.select("doc_id", "source", "lang", "tokens", "bag").mapInArrow(run, "doc_id bigint, source string, lang string, topic string, tokens bigint")
 
 
 def _capped_scale(w: np.ndarray, size: np.ndarray, cap: np.ndarray, target: float) -> np.ndarray:
@@ -184,7 +299,8 @@ def plan(documents: DataFrame, targets: DataFrame, total_tokens: float | None =
     wanted = {r["source"]: (float(r["target_share"]), float(r["max_repeats"])) for r in rows}
     few = F.broadcast(targets.select(F.col("source").alias("s")).distinct())  # at most SOURCES_AT_MOST, as checked
     named = documents.select("doc_id", "source", "lang", "text").join(few, F.col("source") == F.col("s"), "left_semi")
-    docs = stage(sized(named, fit_topics(named, path), path).where("tokens > 0"), "sized")
+    bags = stage(bagged(named, path), "bags")
+    docs = stage(sized(bags, fit_topics(bags)), "sized")
     sums = docs.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).limit(CELLS_AT_MOST + 1).collect()
     if len(sums) > CELLS_AT_MOST:
         raise ValueError(f"more than {CELLS_AT_MOST} cells of source, language and topic")

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 
 from lexdrift.llm import mixing as X
 from lexdrift.llm import packing as P
+from lexdrift.llm import tokens as T
 
 
 def test_best_fit_places_every_item_once():
@@ -132,3 +134,52 @@ def test_mixture_of_the_tables(spark, scale):
         assert max(r.copies for r in mine) <= caps[s].max_repeats
         largest = max(r.tokens for r in mine)
         assert abs(sum(r.tokens * r.copies for r in mine) - caps[s].target_share / left * whole) <= 2 * largest
+
+
+def _texts(n, languages):
+    rng = random.Random(8)
+    pools = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(25)] for _ in range(6)]
+    rows = []
+    for i in range(n):
+        a, b = rng.sample(pools, 2)
+        left = rng.randint(8, 16) if i % 10 == 0 else 24  # some texts are of two kinds
+        rows.append((i, "s", rng.choice(languages), " ".join(rng.choices(a, k=left) + rng.choices(b, k=24 - left))))
+    return rows
+
+
+def _centred(rows):
+    """Weighted bags of all texts without the mean of their language."""
+    slots = [(np.array(x, np.int64) * 2654435761 >> 7) % X.BAG for x in T.numbers([r[3] for r in rows])]
+    x = np.log1p(np.stack([np.bincount(s, minlength=X.BAG) for s in slots]).astype(float))
+    x *= np.log((1 + len(rows)) / (1 + (x > 0).sum(0)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    langs = np.array([r[2] or "" for r in rows])
+    for lang in set(langs):
+        x[langs == lang] -= x[langs == lang].mean(0)
+    return x
+
+
+def _centres(x, topic, n):
+    sums = np.stack([x[topic == k].sum(0) for k in range(n)])
+    return sums / np.linalg.norm(sums, axis=1, keepdims=True)
+
+
+def test_topics_are_of_all_documents(spark):
+    """Every document is in the topic whose centre, from all documents, is nearest; there are more than were once sampled."""
+    rows = _texts(3600, ["en", "de", None])
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string")
+    targets = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
+    topic_of = {r.doc_id: r.topic for r in X.plan(docs, targets).docs.collect()}
+    assert topic_of == {r.doc_id: r.topic for r in X.plan(docs.repartition(7), targets).docs.collect()}
+    x, names = _centred(rows), sorted(set(topic_of.values()))
+    mine = np.array([names.index(topic_of[i]) for i in range(len(rows))])
+    near = x @ _centres(x, mine, len(names)).T
+    assert len(names) > 4 and (near.max(1) - near[np.arange(len(rows)), mine]).max() < 1e-3
+
+
+def test_rounds_with_many_languages(spark):
+    rows = _texts(3600, ["en", None, *(f"x{i}" for i in range(600))])
+    bags = X.bagged(spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string")).coalesce(2)
+    x = _centred(rows)
+    before, after = (X.fit_topics(bags, rounds=n).centres / X.SCALE for n in (0, 1))
+    assert np.allclose(after, _centres(x, (x @ before.T).argmax(1), len(before)), atol=1e-4)
